@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,12 +11,6 @@ from pyspark.sql import functions as F
 from reposieve import fixed
 
 
-def _like(glob: str) -> str:
-    """LIKE pattern of a glob without ``[``; Catalyst turns most into contains/endsWith."""
-    body = re.sub(r"([\\%_])", r"\\\1", glob)
-    return re.sub(r"\*+", "%", body).replace("?", "_")
-
-
 def _class(glob: str, i: int) -> tuple[str, int] | None:
     """Java character class for the ``[`` at ``i`` and the index after it."""
     j = i + 1
@@ -44,7 +37,10 @@ def _class(glob: str, i: int) -> tuple[str, int] | None:
 
 
 def glob_regex(glob: str) -> str:
-    """Anchored Java regex equal to the glob."""
+    """Java regex that finds exactly the texts the glob matches.
+
+    Anchors stand only where the glob does not begin or end with ``*``.
+    """
     out, i = [], 0
     while i < len(glob):
         ch = glob[i]
@@ -55,11 +51,16 @@ def glob_regex(glob: str) -> str:
             continue
         out.append(".*" if ch == "*" else "." if ch == "?" else re.escape(ch))
         i += 1
-    return r"(?s)\A" + re.sub(r"(\.\*)+", ".*", "".join(out)) + r"\z"
+    parts = [p for k, p in enumerate(out) if p != ".*" or k == 0 or out[k - 1] != ".*"]
+    if parts == [".*"]:
+        return ".*"
+    lead, trail = parts[:1] == [".*"], parts[-1:] == [".*"]
+    body = parts[lead : len(parts) - trail]
+    return ("" if lead else r"\A") + "".join(body) + ("" if trail else r"\z")
 
 
-def _one(path: Column, glob: str) -> Column:
-    return path.rlike(glob_regex(glob)) if "[" in glob else path.like(_like(glob))
+def globs_regex(globs: Iterable[str]) -> str:
+    return "(?s)(?:" + "|".join(map(glob_regex, globs)) + ")"
 
 
 def root_variants(globs: Iterable[str]) -> list[str]:
@@ -73,12 +74,14 @@ def root_variants(globs: Iterable[str]) -> list[str]:
 
 
 def glob_match(path: Column | str, globs: Iterable[str], root_aware: bool = False) -> Column:
-    """True where the path matches any glob. The list is plan-time configuration."""
+    """True where the path matches any glob.
+
+    The list is plan-time configuration: all of it becomes one regex literal, compiled
+    once per task, and the path is looked at once.
+    """
     path = F.col(path) if isinstance(path, str) else path
     globs = root_variants(globs) if root_aware else list(dict.fromkeys(globs))
-    if not globs:
-        return F.lit(False)
-    return reduce(lambda a, b: a | b, (_one(path, g) for g in globs))
+    return path.rlike(globs_regex(globs)) if globs else F.lit(False)
 
 
 def parse_globs(col: Column | str) -> Column:

@@ -45,26 +45,25 @@ def secrets(path: Column, content: Column, lower: Column) -> list[Column]:
     return out
 
 
+def _rule_spans(content: Column, rule_id: str, rx: str) -> Column:
+    def of(sp: Column) -> Column:
+        return F.transform(
+            sp["toks"],
+            lambda t, i: F.struct(
+                F.lit(rule_id).alias("rule_id"),
+                text.span_start(sp, i).alias("start"),
+                (text.span_start(sp, i) + F.length(t)).alias("end"),
+            ),
+        )
+
+    return F.when(content.rlike(rx), text.bind(text.spans(content, rx), of)).otherwise(
+        F.array().cast("array<struct<rule_id:string,start:int,end:int>>")
+    )
+
+
 def secret_spans(files: DataFrame) -> DataFrame:
     """Distinct ``(rule_id, start, end)`` of every match, as offsets only: no secret text."""
-    content = F.col("content")
-    rules = []
-    for rule_id, _sev, _reason, rx in fixed.SECRET_RULES:
-        def of(sp: Column, rule_id: str = rule_id) -> Column:
-            return F.transform(
-                sp["toks"],
-                lambda t, i: F.struct(
-                    F.lit(rule_id).alias("rule_id"),
-                    text.span_start(sp, i).alias("start"),
-                    (text.span_start(sp, i) + F.length(t)).alias("end"),
-                ),
-            )
-
-        rules.append(
-            F.when(content.rlike(rx), text.bind(text.spans(content, rx), of)).otherwise(
-                F.array().cast("array<struct<rule_id:string,start:int,end:int>>")
-            )
-        )
+    rules = [_rule_spans(F.col("content"), r, rx) for r, _sev, _reason, rx in fixed.SECRET_RULES]
     # Regex iteration never returns the same span twice, so no shuffle is needed.
     flat = files.select("owner", "name", "path", F.inline_outer(F.flatten(F.array(*rules))))
     return flat.filter(F.col("rule_id").isNotNull())
