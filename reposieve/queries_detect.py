@@ -172,21 +172,14 @@ def ent8(spark, sf):
     return found(spark, sf, "entropy_secrets", (entropy.RULE,), entropy=strict)
 
 
-def broken_python(spark, sf) -> DataFrame:
-    """The corpus with every Python file of template 16 made unparsable."""
-    return corpus.files(spark, sf).withColumn(
-        "content", F.when(F.col("k") == 16, F.concat(F.lit("def (:\n"), "content")).otherwise(F.col("content"))
-    )
-
-
-@query("sta5_unparsable_python", o.with_(o.FILES) + f"""
-SELECT k, count(*) AS files, CAST(0 AS BIGINT) AS findings FROM files WHERE k = 16 GROUP BY ALL""")
+@query("sta5_unparsable_python", o.with_(o.FILES) + """
+SELECT path, CAST(0 AS BIGINT) AS findings, 2 AS errors FROM files WHERE ends_with(path, '.py')""")
 def sta5(spark, sf):
-    facts = pyfacts.py_facts(F.col("content"))
-    parsed = broken_python(spark, sf).filter(F.col("k") == 16).select("k", facts.alias("f"))
-    return parsed.filter(F.col("f.error").isNotNull()).groupBy("k").agg(
-        F.count(F.lit(1)).alias("files"), F.sum(F.size("f.facts")).alias("findings")
-    )
+    """Every Python file made unparsable: no findings of the parsed rules, but errors."""
+    files = corpus.files(spark, sf).filter(F.col("path").endswith(".py"))
+    bad = files.withColumn("content", F.concat(F.lit("def open(:\n"), "content"))
+    hits = scan_files(bad, ScanConfig(enabled=("static_risk", "taint_risk"), exclude=()))
+    return hits.select("path", F.size("findings").cast("bigint").alias("findings"), F.size("errors").alias("errors"))
 
 
 def python_facts(spark, sf) -> DataFrame:
