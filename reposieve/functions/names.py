@@ -124,7 +124,7 @@ def repo_display_name(
         run_id.rlike(RUN_ID_PAIR),
         F.concat(F.regexp_extract(run_id, RUN_ID_PAIR, 1), F.lit("/"), F.regexp_extract(run_id, RUN_ID_PAIR, 2)),
     ).when(
-        F.size(pieces) >= 2,
+        F.array_size(pieces) >= 2,
         F.concat(F.get(pieces, F.lit(0)), F.lit("/"), F.array_join(F.slice(pieces, 2, 2147483646), "-")),
     )
     both = F.when((owner != "") & (name != ""), F.concat(owner, F.lit("/"), name))

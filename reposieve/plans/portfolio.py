@@ -221,8 +221,8 @@ def flagged_per_repo(reports: DataFrame) -> DataFrame:
     d = documents(reports)
     return d.select(
         repo_key().alias("repo_key"), "session_id",
-        F.when(F.col("findings").isNotNull(), F.size("findings"))
-        .when(F.col("flags").isNotNull(), F.size("flags"))
+        F.when(F.col("findings").isNotNull(), F.array_size("findings"))
+        .when(F.col("flags").isNotNull(), F.array_size("flags"))
         .otherwise(F.coalesce("stats.flagged_count", F.lit(0)))
         .cast("bigint").alias("flagged"),
     )

@@ -108,7 +108,7 @@ def report_rows(reports: DataFrame) -> DataFrame:
         F.sum("stats.files_scanned").alias("files_scanned"),
         F.sum("stats.bytes_scanned").alias("bytes_scanned"),
         F.max("stats.scanners_used").alias("scanners_used"),
-        F.sum(F.coalesce(F.size("findings"), F.lit(0))).alias("findings"),
+        F.sum(F.coalesce(F.array_size("findings"), F.lit(0))).alias("findings"),
         F.max("classification").alias("classification"),
         F.max("summary").alias("summary"),
     ).drop("_alone")
@@ -200,9 +200,8 @@ def validate_reports(reports: DataFrame) -> DataFrame:
         bad(lacks(k), f"findings.{k}", "missing")
         for k in ("path", "scanner", "rule_id", "severity", "reason")
     ]
-    broken = F.filter(F.array(*checks), lambda x: x.isNotNull())
-    flat = reports.select("session_id", F.inline_outer(broken))
-    return flat.filter(c("field").isNotNull())
+    flat = reports.select("session_id", F.explode(F.array(*checks)).alias("x"))
+    return flat.filter(c("x").isNotNull()).select("session_id", "x.field", "x.problem")
 
 
 def all_of(reports: list[DataFrame]) -> DataFrame:

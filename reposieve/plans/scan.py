@@ -83,13 +83,13 @@ REGISTRY: dict[str, Detector] = {
     "entropy_secrets": Detector(_entropy),
     "static_risk": Detector(
         lambda i, _c: static.text_rules(i.path, i.content, i.lower),
-        lambda i, _c: [f.when_any(F.size(i.calls) > 0, static.call_rules(i.calls))],
+        lambda i, _c: [f.when_any(F.array_size(i.calls) > 0, static.call_rules(i.calls))],
     ),
     "taint_risk": Detector(
-        on_facts=lambda i, c: [f.when_any(F.size(i.calls) > 0, taint.call_rules(i.calls, c.policy))]
+        on_facts=lambda i, c: [f.when_any(F.array_size(i.calls) > 0, taint.call_rules(i.calls, c.policy))]
     ),
     "github_actions": Detector(
-        on_facts=lambda i, c: [f.when_any(F.size(i.steps) > 0, workflows.step_rules(i.steps, c.policy))]
+        on_facts=lambda i, c: [f.when_any(F.array_size(i.steps) > 0, workflows.step_rules(i.steps, c.policy))]
     ),
     "yara": Detector(lambda i, _c: bytepatterns.byte_rules(i.path, i.content, i.has_run)),
 }
@@ -140,7 +140,7 @@ def scan_files(
     if parse_py:
         texted = texted.withColumn("_facts", pyfacts.py_facts("_py"))
         texted = texted.withColumn(
-            "_calls", F.when(F.size(py["facts"]) > 0, taint.resolved_calls(py["facts"]))
+            "_calls", F.when(F.array_size(py["facts"]) > 0, taint.resolved_calls(py["facts"]))
         )
     if parse_ci:
         texted = texted.withColumn("_steps", workflows.workflow_steps("_yml"))
@@ -247,8 +247,8 @@ def repo_summary(
     per_repo = scanned.groupBy(*REPO).agg(
         F.count(F.lit(1)).alias("files_scanned"),
         F.sum("length").alias("bytes_scanned"),
-        F.sum(F.size(fs)).alias("n"),
-        F.every((F.size(fs) == 0) | (entropy_only & paths.is_doc_like(F.col("path")))).alias("relaxed"),
+        F.sum(F.array_size(fs)).alias("n"),
+        F.every((F.array_size(fs) == 0) | (entropy_only & paths.is_doc_like(F.col("path")))).alias("relaxed"),
         F.bool_or(F.exists(fs, lambda x: x["severity"].isin("high", "critical"))).alias("severe"),
         F.bool_or(F.exists(fs, lambda x: x["severity"] == "medium")).alias("medium"),
     )

@@ -179,7 +179,7 @@ def sta5(spark, sf):
     files = corpus.files(spark, sf).filter(F.col("path").endswith(".py"))
     bad = files.withColumn("content", F.concat(F.lit("def open(:\n"), "content"))
     hits = scan_files(bad, ScanConfig(enabled=("static_risk", "taint_risk"), exclude=()))
-    return hits.select("path", F.size("findings").cast("bigint").alias("findings"), F.size("errors").alias("errors"))
+    return hits.select("path", F.array_size("findings").cast("bigint").alias("findings"), F.array_size("errors").alias("errors"))
 
 
 def python_facts(spark, sf) -> DataFrame:

@@ -119,7 +119,7 @@ def src5(spark, sf):
     r = documents.parse_reports(documents.items_of_lines(lines))
     return r.select(
         "session_id", F.col("repo.name").alias("repo_name"), "stats.files_scanned",
-        F.coalesce(F.size("findings"), F.lit(0)).cast("bigint").alias("findings"),
+        F.coalesce(F.array_size("findings"), F.lit(0)).cast("bigint").alias("findings"),
         F.md5(F.col("summary").cast("binary")).alias("reason"),
     )
 

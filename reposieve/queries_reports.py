@@ -371,7 +371,7 @@ def snk1(spark, sf):
     lines = sinks.report_json(reports(spark, sf)).select(F.lit(0).alias("pos"), F.col("value").alias("text"))
     back = docs.parse_reports(docs.items_of_lines(lines))
     return back.select("repo.owner", "repo.name", "stats.files_scanned",
-                       F.size("findings").cast(LONG).alias("findings"), "classification")
+                       F.array_size("findings").cast(LONG).alias("findings"), "classification")
 
 
 @query("snk2_report_json", o.REPORTS + """

@@ -127,9 +127,9 @@ def read_tree(
     pieces = F.split(rel, "/", 3)
     listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .filter(F.size(pieces) == 3)
+        .filter(F.array_size(pieces) == 3)
         .select(
-            pieces[0].alias("owner"), pieces[1].alias("name"), pieces[2].alias("path"),
+            *(F.get(pieces, F.lit(i)).alias(c) for i, c in enumerate(("owner", "name", "path"))),
             F.lit("blob").alias("type"), "length", "content",
         )
     )
