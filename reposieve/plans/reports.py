@@ -173,7 +173,7 @@ def leaderboard(rows: DataFrame, repos: DataFrame) -> DataFrame:
     flat = with_stars(rows, repos).select(
         *REPO, "stars", "classification", "findings", "files_scanned", "bytes_scanned"
     )
-    return number_rows(flat, order, "rank")
+    return number_rows(flat, order, "rank").select("rank", *flat.columns)
 
 
 def validate_reports(reports: DataFrame) -> DataFrame:
