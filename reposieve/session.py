@@ -13,6 +13,8 @@ def session(master: str | None = None, app: str = "reposieve", **conf: str) -> S
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # A scan is thousands of column calls: recording each call site doubles planning time.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         b = b.master(master)
