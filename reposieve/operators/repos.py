@@ -68,7 +68,8 @@ def seen_keys(runs: DataFrame) -> DataFrame:
     ``runs`` has the columns ``owner``, ``name``, ``results`` and ``repos``.
     """
     bare = runs.select(*REPO)
-    results = runs.select(F.explode_outer("results.repo").alias("r")).select("r.owner", "r.name")
+    in_results = runs.select(F.col("results.repo").alias("u"))
+    results = in_results.select(F.explode_outer("u").alias("r")).select("r.owner", "r.name")
     listed = runs.select(F.explode_outer("repos").alias("r")).select("r.owner", "r.name")
     keys = bare.unionByName(results).unionByName(listed)
     return keys.filter((F.col("owner") != "") & (F.col("name") != "")).distinct()

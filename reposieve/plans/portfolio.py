@@ -107,7 +107,8 @@ def merge_reports(reports: DataFrame, legacy_flags: bool = False) -> Merged:
     findings = _rows_of(keyed, "findings").distinct()
     flags = _rows_of(keyed, "flags").distinct()
     glob_rows = [
-        keyed.select("repo_key", F.lit(kind).alias("kind"), "pos", F.posexplode_outer(f"policy.{kind}").alias("i", "glob"))
+        keyed.select("repo_key", F.lit(kind).alias("kind"), "pos", F.col(f"policy.{kind}").alias("u"))
+        .select("repo_key", "kind", "pos", F.posexplode_outer("u").alias("i", "glob"))
         for kind in ("include", "exclude")
     ]
     globs = (

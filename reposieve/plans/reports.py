@@ -200,7 +200,9 @@ def validate_reports(reports: DataFrame) -> DataFrame:
         bad(lacks(k), f"findings.{k}", "missing")
         for k in ("path", "scanner", "rule_id", "severity", "reason")
     ]
-    flat = reports.select("session_id", F.explode(F.array(*checks)).alias("x"))
+    flat = reports.select("session_id", F.array(*checks).alias("u")).select(
+        "session_id", F.explode("u").alias("x")
+    )
     return flat.filter(c("x").isNotNull()).select("session_id", "x.field", "x.problem")
 
 
