@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposieve.llm import mixing, simhash, toxicity
+from reposieve.llm import mixing, simhash, substrings, toxicity
 from reposieve.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op6_substrings")
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removals(read(spark, sf_dir, "documents"))
+
+
 @query("op7_mixing", mixing.MIX_SQL)
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
