@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposieve.llm import decontam, mixing, simhash, substrings, toxicity
+from reposieve.llm import decontam, langid, mixing, simhash, substrings, toxicity
 from reposieve.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op3_language")
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = langid.fold(F.col("doc_id")) == 1
+    models = langid.fit(docs, ~held_out)
+    found = langid.identify(docs, models, ["doc_id"])
+    return found.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+
+
 @query("op6_substrings")
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removals(read(spark, sf_dir, "documents"))
