@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposieve.llm import ann, decontam, html_text, langid, mixing, simhash, substrings, toxicity
+from reposieve.llm import ann, decontam, html_text, langid, licenses, mixing, simhash, substrings, toxicity
 from reposieve.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,11 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
 
 
+@query("op4_licenses")
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"), ["doc_id"]).drop("detections")
+
+
 @query("op6_substrings")
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removals(read(spark, sf_dir, "documents"))
