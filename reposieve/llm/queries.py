@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposieve.llm import ann, decontam, html_text, langid, licenses, mixing, simhash, substrings, toxicity
+from reposieve.llm import ann, decontam, html_text, langid, licenses, mixing, simhash, substrings, toxicity, urls
 from reposieve.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"), ["doc_id"]).drop("detections")
 
 
+@query("op5_urls")
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"), urls.train(spark), ["page_id"])
+
+
 @query("op6_substrings")
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removals(read(spark, sf_dir, "documents"))

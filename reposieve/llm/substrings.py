@@ -210,7 +210,8 @@ class Repeats:
         )
         work.drop("anchors")
         names = units.select("unit", "w", F.explode(F.arrays_zip("pos", "name")).alias("a")).select("unit", "w", "a.pos", "a.name")
-        twice = names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        # Landed, so that both sides of the join are plain exchanges and a frequent name can be split.
+        twice = work.land(names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name"), "twice")
         nodes = work.land(
             names.join(twice, "name", "left_semi")
             .select("unit", F.col("pos").alias("p"), F.lit(0).cast("long").alias("lo"),
@@ -246,7 +247,8 @@ class Repeats:
             cut = {r: parts(*r) for r in ranges if r[0] < r[1]}
             if not cut:
                 break
-            mixed = strings.groupBy("lo", "core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+            mixed = strings.groupBy("lo", "core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("lo", "core")
+            mixed = work.land(mixed, f"mixed{k}")
             table = self.spark.createDataFrame(
                 [(lo, [{"lo": a, "hi": b} for a, b in xs]) for (lo, _), xs in cut.items()],
                 "lo long, finer array<struct<lo: long, hi: long>>",
@@ -257,7 +259,7 @@ class Repeats:
                 .select("one.unit", "one.p", "w", F.explode("finer").alias("r"))
                 .select("unit", "p", "r.lo", "r.hi", "w"), f"nodes{k + 1}",
             )
-            work.drop(f"strings{k}")
+            work.drop(f"strings{k}", f"mixed{k}")
             ranges, k = {r for xs in cut.values() for r in xs}, k + 1
         of_unit = spans.groupBy("unit").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
         self.cut = work.land(
@@ -265,7 +267,7 @@ class Repeats:
                 _cut_rows, "sha string, n_removed long, n_spans long, kept_sha256 string, edges array<long>"), "cut",
         )
         self.copies = work.land(units.filter("w > 1").select("sha"), "copies")
-        work.drop("units", f"strings{k}", *(f"spans{i}" for i in range(k + 1)))
+        work.drop("units", "twice", f"strings{k}", *(f"spans{i}" for i in range(k + 1)))
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
