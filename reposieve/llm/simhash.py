@@ -52,9 +52,9 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """``(id, fp)`` of every row, from its whole text."""
-    return per_row(docs, [id_col], text_col, lambda t: (fingerprint(t, words),), "fp long")
+def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", words: int = 3) -> DataFrame:
+    """``keep`` and ``fp`` of every row, from its whole text."""
+    return per_row(docs, keep, text_col, lambda t: (fingerprint(t, words),), "fp long")
 
 
 def block_masks(free: int, blocks: int, agree: int) -> list[int]:
@@ -70,7 +70,8 @@ def _signed(mask: int) -> int:
 
 
 def _near(a: np.ndarray, b, distance: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= distance
+    # Of signed numbers numpy counts the bits of the absolute value.
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= distance
 
 
 def forest(fps: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -169,9 +170,10 @@ def links(work: Workspace, fps: DataFrame, distance: int = 3) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3
 ) -> DataFrame:
-    """``(id, fp, component_id)`` of every row; ``component_id`` is the smallest id reachable by links."""
+    """``(id, text_hash, fp, component_id)`` of every row; ``component_id`` is the smallest id reachable by links."""
     work = Workspace(docs.sparkSession, "simhash")
-    prints = work.land(fingerprints(docs, id_col, text_col, words).withColumnRenamed(id_col, "_id"), "prints")
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("_text"))
+    prints = work.land(fingerprints(rows, ["_id", "text_hash"], "_text", words), "prints")
     fps = work.land(prints.groupBy("fp").agg(F.min("_id").alias("least")), "fps")
     roots = components(work, links(work, fps, distance))
     placed = work.land(
@@ -182,15 +184,14 @@ def near_duplicates(
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = work.land(placed.join(least, "root").select("fp", "component_id"), "named")
     work.drop("fps", "placed")
-    return prints.join(named, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+    return prints.join(named, "fp").select(F.col("_id").alias(id_col), "text_hash", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The document with the smallest id of every group; a repeated id counts as one document."""
-    groups = near_duplicates(docs, id_col, text_col, **how)
-    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
+    """The document with the smallest id of every group; rows that repeat id and text are one document."""
+    groups = near_duplicates(docs, id_col, text_col, **how).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
+    kept = groups.groupBy(F.col(id_col).alias("_kept"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_n"))
     kept = Workspace(docs.sparkSession, "simhash-kept").land(kept, "ids")
-    named = kept.select(F.col(id_col).alias("_kept"), "_n")
-    rows = docs.join(named, docs[id_col].eqNullSafe(F.col("_kept")))
-    once = rows.filter("_n = 1").drop("_kept", "_n")
-    return once.unionByName(rows.filter("_n > 1").drop("_kept", "_n").dropDuplicates([id_col]))
+    rows = docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept")) & (F.xxhash64(docs[text_col]) == F.col("_hash")))
+    again = rows.filter("_n > 1").dropDuplicates(["_kept", "_hash"])
+    return rows.filter("_n = 1").unionByName(again).drop("_kept", "_hash", "_n")
