@@ -17,6 +17,7 @@ model is empty and rejects nothing.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,7 +42,7 @@ TELLING = 5.0
 LIFT = 8
 PENALTY, ROUNDS = 0.003, 400
 _WORDS = re.compile(r"[^\W\d_]+")
-_SPACE = 1 << 22
+_SPACE = 1 << 20
 
 
 def words(text: bytes | None) -> set[str]:
@@ -79,9 +80,10 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, n: in
 
     def count(text):
         found = [features(w) for w in words(text)]
-        return (sorted(x for xs in found for x in xs), len(found))
+        hits = np.sort(np.array([x for xs in found for x in xs], np.uint32))
+        return hits.tobytes(), len(found)
 
-    return per_row(rows, ["toxic"], "_text", count, "hits array<int>, n long")
+    return per_row(rows, ["toxic"], "_text", count, "hits binary, n long")
 
 
 def _fit(toxic: np.ndarray, docs: list[np.ndarray], sizes: np.ndarray) -> Model:
@@ -165,12 +167,12 @@ def _threshold(severity: np.ndarray, toxic: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SAMPLE) -> Model:
     """Model from a bounded sample: at most ``2 n`` documents reach the driver, as hashed features."""
-    rows = {(tuple(r.hits), r.toxic): r.n for r in sample(docs, labels, id_col, text_col, n).collect()}  # copies count once
+    rows = {(bytes(r.hits), r.toxic): r.n for r in sample(docs, labels, id_col, text_col, n).collect()}  # copies count once
     if not rows:
         return Model({}, tuple(range(1, GRADES + 1)), float("inf"))
-    found = sorted(rows.items(), key=lambda r: (hash(r[0][0]), r[0][1]))
+    found = sorted(rows.items(), key=lambda r: (hashlib.md5(r[0][0]).digest(), r[0][1]))
     return _fit(
-        np.array([t for (_, t), _ in found]), [np.array(h, np.int64) for (h, _), _ in found], np.array([n for _, n in found])
+        np.array([t for (_, t), _ in found]), [np.frombuffer(h, np.uint32) for (h, _), _ in found], np.array([n for _, n in found])
     )
 
 
