@@ -133,11 +133,11 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) ->
     return int(row[k]), int(ends[k])
 
 
-def parts(benchmark: DataFrame, size: int = PART) -> Iterator[list[tuple[int, bytes]]]:
-    """The items in lists of about ``size`` characters, one after the other."""
+def parts(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
+    """The items in lists of about ``PART`` characters, one after the other."""
     items = benchmark.select("item_id", F.col("text").cast("binary").alias("text")).filter("text is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // size))
+    n = max(1, -(-total // PART))
     for k in range(n):
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         yield [(r.item_id, bytes(r.text)) for r in part.collect()]

@@ -174,6 +174,14 @@ LABELLED = [
     (f"<main><p>{_MORE}</p><div class=share>Share this with your friends</div><p>{_LONG}</p><nav>{_LINKS}</nav><p>End</p></main><footer><p>{_MORE}</p></footer>", "1" "0" "1" "0" "1" "0"),
     (f"<div>Menu</div><div><a href=/1>One</a></div><div><a href=/2>Two</a></div><div>{_LONG}</div><div>{_MORE} {_LONG}</div><div>{_LONG}</div><div><a href=/3>Next</a></div>", "000" "111" "0"),
     (f"<ul><li><a href=/1>One</a></li><li><a href=/2>Two</a></li></ul><div><p>{_LONG}</p><p>It held.</p><p>{_MORE}</p></div><p><a href=/p>Privacy</a></p>", "00" "111" "0"),
+    ("<article><p>Yes.</p><p>No, not so.</p><p>So it is.</p></article>", "111"),
+    (f"<article><p>{_LONG}</p><p>Then one.</p><p>It held.</p></article>", "111"),
+    (f"<article><h2>Two</h2><p>Few words here.</p><p>{_MORE}</p></article><div>About us and our other pages</div>", "111" "0"),
+    (f"<main><p>It held.</p><p>{_LONG}</p><p>Then.</p><p>{_LONG}</p><p>Third one.</p></main>", "11111"),
+    (f"<article><h1>Lists</h1><p><a href=/1>First</a></p><p><a href=/2>Second of two</a></p><p>End.</p></article><p>{_LINKS}</p>", "1111" "0"),
+    (f"<main><p>{_MORE} {_LONG}</p></main><p>{_LINKS}</p><div>Back to top</div>", "1" "00"),
+    (f"<article><p>{_LONG}</p></article>", "1"),
+    ("<article><p>Short.</p></article><p>Imprint</p>", "1" "0"),
     (f"<article><h1>A</h1><p>B</p></article><div class=promo>{_LONG} {_MORE}</div><div class=newsletter><p>{_MORE}</p></div><footer>C</footer>", "11" "0" "0" "0"),
 ]
 

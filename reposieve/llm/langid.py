@@ -31,6 +31,8 @@ SAMPLE = 1500
 FOLDS = 3
 #: A text is rejected if it is this many deviations above the mean cross-entropy of its language.
 REJECT = 6.0
+#: Characters that the lowest order spreads its rest over.
+CHARACTERS = 1 << 16
 _OTHER = re.compile(r"[\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BREAK = "\n"
@@ -107,7 +109,7 @@ def kneser_ney(langs: list[str], lang: np.ndarray, grams: np.ndarray, counts: np
         above, rows, _ = types[k + 1]
         key, times = np.unique(np.column_stack([above, rows[:, 1:]]), axis=0, return_counts=True)
         types[k] = (key[:, 0], key[:, 1:], times)
-    models.unseen = -np.log(len(np.unique(types[1][1])) + 1)
+    models.unseen = -np.log(CHARACTERS)
     below = None
     for k in range(1, ORDER + 1):
         of, rows, c = types[k]
@@ -171,7 +173,7 @@ def fit(
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
-    share = F.element_at(F.create_map(*(F.lit(x) for k, v in sorted(sizes.items()) for x in (k, 1.2 * n / v))), F.col("lang"))
+    share = F.element_at(F.create_map(*(F.lit(x) for k, v in sorted(sizes.items()) for x in (k, min(1.0, 1.2 * n / v)))), F.col("lang"))
     spot = F.pmod(F.xxhash64(F.lit("langid"), "_id"), F.lit(1 << 30)) / (1 << 30)
     picked = rows.withColumn("_at", spot / share).filter("_at < 1")
     learn = picked.filter(F.col("_at") < 1 / 1.2).select("lang", "_text")
@@ -211,7 +213,7 @@ def calibrate(models: Models, lang: list[str], entropy: np.ndarray) -> Models:
     models.sharpness = min((2.0 ** e for e in range(0, 8)), key=loss)
     for k in range(len(models.langs)):
         own = entropy[(true == k) & (entropy.argmin(axis=1) == k), k]
-        if len(own) >= 10:
+        if len(own) >= 5:
             models.limit[k] = own.mean() + REJECT * own.std()
     return models
 

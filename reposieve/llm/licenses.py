@@ -1,7 +1,7 @@
 """License scans with columns only: ordered regex rules over the words of whole texts.
 
 Words are runs of digits, ``a-z`` and non-ASCII characters after A-Z are lower-cased. Rules are gated twice: texts
-without any gate word are done at once, and a rule is tried only if its keyword occurs. Each match is an
+without any keyword are done at once, and a rule is tried only if its keyword occurs. Each match is an
 interval of words with a priority. An interval inside another of the same or a higher priority is suppressed,
 as is one around another of a higher priority; equal ones are decided by the order of the rules.
 
@@ -20,13 +20,6 @@ from reposieve.llm.license_rules import rules
 BASE = {
     "gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit",
 }
-#: Every keyword of the rules holds or comes with one of these.
-GATES = (
-    "licen", "copyright", "gpl", "cc by", "cc0", "creative commons", "public domain", "spdx", "apache", "bsd", "mit ",
-    "rights reserved", "permission", "redistribution", "mpl", "epl", "cddl", "wtfpl", "ofl", "eupl", "cecill", "odbl",
-    "proprietary", "confidential", "commercial", "same terms as", "software", "public domain", "advertising", "commons clause", "ms pl",
-    "gnu", "sil open font", "do what the",
-)
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++"
 CONFIDENCE = {1: 0.5, 2: 0.8, 3: 1.0}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -96,6 +89,12 @@ def _unsuppressed(found: Column) -> Column:
     return F.aggregate(F.array_sort(outer, order(True)), high, around, lambda done: F.reverse(done["kept"]))
 
 
+def gates() -> list[str]:
+    """Words of which a text must hold one for any rule to be tried: keywords that hold no other one."""
+    words = {r.keyword for r in rules()}
+    return sorted(w for w in words if not any(v != w and v in w for v in words))
+
+
 def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` with the word count, places of base phrases, detections and labels of every row.
 
@@ -106,8 +105,8 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
         F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"),
                  F.lit(r.number).alias("rule"), F.lit(r.label).alias("label")) for r in rules()
     ))
-    gated = F.contains(text, F.lit(GATES[0]))
-    for gate in GATES[1:]:
+    gated = F.lit(False)
+    for gate in gates():
         gated = gated | F.contains(text, F.lit(gate))
     tried = F.filter(table, lambda r: F.contains(text, r["keyword"]))
     found = F.flatten(F.transform(tried, lambda r: _places(text, r["pattern"], r["priority"], r["rule"], r["label"])))
