@@ -211,8 +211,10 @@ def calibrate(models: Models, lang: list[str], entropy: np.ndarray) -> Models:
         return (np.logaddexp.reduce(z, axis=1) - z[row, true]).mean()
 
     models.sharpness = min((2.0 ** e for e in range(0, 8)), key=loss)
+    right = entropy.argmin(axis=1) == true
     for k in range(len(models.langs)):
-        own = entropy[(true == k) & (entropy.argmin(axis=1) == k), k]
+        own = entropy[right & (true == k), k]
+        own = own if len(own) >= 5 else entropy[right].min(axis=1)  # too few of its own: those of all
         if len(own) >= 5:
             models.limit[k] = own.mean() + REJECT * own.std()
     return models
