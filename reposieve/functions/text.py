@@ -19,7 +19,7 @@ def spans(text: Column, regex: str) -> Column:
     """``struct(toks, gaps)``: the matches and the text around them, in order.
 
     ``gaps[i]`` precedes ``toks[i]`` and ``gaps[i + 1]`` follows it, so
-    neighbourhoods and offsets come from lengths, in code points.
+    neighbourhoods come from neighbours and offsets from lengths, in code points.
     """
     return F.struct(
         F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("toks"),
@@ -27,11 +27,33 @@ def spans(text: Column, regex: str) -> Column:
     )
 
 
-def span_start(sp: Column, i: Column) -> Column:
-    """Offset of match ``i`` (0-based, in code points)."""
-    add = lambda a, s: a + F.length(s)
-    gaps = F.aggregate(F.slice(sp["gaps"], F.lit(1), i + 1), F.lit(0), add)
-    return gaps + F.aggregate(F.slice(sp["toks"], F.lit(1), i), F.lit(0), add)
+def span_starts(sp: Column) -> Column:
+    """Offsets of all matches (0-based, in code points), in one pass over the lengths."""
+    def step(done: Column, x: Column) -> Column:
+        at = done["at"] + F.length(x["gaps"])
+        return F.struct(
+            (at + F.coalesce(F.length(x["toks"]), F.lit(0))).alias("at"),
+            F.when(x["toks"].isNull(), done["starts"]).otherwise(F.array_append(done["starts"], at)).alias("starts"),
+        )
+
+    # The gap after the last match has no match beside it.
+    pairs = F.arrays_zip(sp["gaps"].alias("gaps"), sp["toks"].alias("toks"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    return F.aggregate(pairs, start, step, lambda done: done["starts"])
+
+
+def around(sp: Column, i: Column, radius: int, min_len: int) -> tuple[Column, Column]:
+    """Up to ``radius`` characters before and after match ``i``, from the pieces next to it.
+
+    Matches have ``min_len`` characters at least, so few pieces make up the radius: the cost of a
+    match does not depend on where in the text it stands.
+    """
+    piece = lambda c, j, cut: F.coalesce(cut(F.get(sp[c], j), F.lit(radius)), F.lit(""))
+    before, after = [piece("gaps", i, F.right)], [piece("gaps", i + 1, F.left)]
+    for k in range(1, radius // max(1, min_len) + 2):
+        before = [piece("gaps", i - k, F.right), piece("toks", i - k, F.right), *before]
+        after = [*after, piece("toks", i + k, F.left), piece("gaps", i + k + 1, F.left)]
+    return F.right(F.concat(*before), F.lit(radius)), F.left(F.concat(*after), F.lit(radius))
 
 
 def masked(sp: Column, i: Column, radius: int = fixed.MASK_RADIUS) -> Column:
@@ -56,6 +78,10 @@ def mask(text: Column, start: Column, end: Column, radius: int = fixed.MASK_RADI
     )
 
 
+#: Digits that are no decimal digits: superscripts, circled and the like.
+DIGITS = "".join(c for c in map(chr, range(0x20, 0x1F200)) if c.isdigit() and not c.isdecimal())
+
+
 def shannon_entropy(s: Column) -> Column:
     """Bits per character; 0 for the empty string."""
     n = F.length(s).cast("double")
@@ -70,10 +96,9 @@ def shannon_entropy(s: Column) -> Column:
 
 
 def char_classes(s: Column) -> Column:
-    """How many of upper, lower, digit and ``+/=_-`` occur."""
-    return sum(
-        (s.rlike(rx).cast("int") for rx in ("[a-z]", "[0-9]", "[+/=_-]")), s.rlike("[A-Z]").cast("int")
-    )
+    """How many of upper, lower, digit and ``+/=_-`` occur, letters and digits of any script."""
+    kinds = (r"\p{IsUppercase}", r"\p{IsLowercase}", f"[\\p{{Nd}}{DIGITS}]", "[+/=_-]")
+    return sum((s.rlike(rx).cast("int") for rx in kinds[1:]), s.rlike(kinds[0]).cast("int"))
 
 
 def is_binary(text: Column) -> Column:

@@ -50,24 +50,22 @@ def path_in_scope(path: Column, window: str = "chars") -> Column:
     return paths.any_suffix(path, fixed.ENTROPY_EXTS) & ~paths.is_noisy_path(path)
 
 
-def _char_window(content: Column, start: Column, n: Column, radius: int) -> Column:
-    lo = F.greatest(F.lit(0), start - radius)
-    return F.substr(content, lo + 1, start + n + radius - lo)
+def char_window(sp: Column, tok: Column, i: Column, radius: int, min_len: int) -> Column:
+    before, after = text.around(sp, i, radius, max(min_len, fixed.TOKEN_MIN_RUN))
+    return F.concat(before, tok, after)
 
 
-def _line_window(content: Column, start: Column, n: Column, radius: int) -> Column:
+def line_window(sp: Column, tok: Column, i: Column, radius: int, min_len: int) -> Column:
     """Up to ``radius`` characters each side, but not past the line of the token."""
-    lo = F.greatest(F.lit(0), start - radius)
-    before = F.substring_index(F.substr(content, lo + 1, start - lo), "\n", -1)
-    after = F.substring_index(F.substr(content, start + n + 1, F.lit(radius)), "\n", 1)
-    return F.concat(before, F.substr(content, start + 1, n), after)
+    before, after = text.around(sp, i, radius, max(min_len, fixed.TOKEN_MIN_RUN))
+    return F.concat(F.substring_index(before, "\n", -1), tok, F.substring_index(after, "\n", 1))
 
 
-def in_context(content: Column, start: Column, n: Column, radius: int, window: str) -> Column:
+def in_context(sp: Column, tok: Column, i: Column, radius: int, window: str, min_len: int) -> Column:
     if window == "line":
-        near = _line_window(content, start, n, radius)
+        near = line_window(sp, tok, i, radius, min_len)
         return near.rlike(fixed.CONTEXT_HINTS) & near.rlike(fixed.ASSIGNMENT)
-    near = _char_window(content, start, n, radius)
+    near = char_window(sp, tok, i, radius, min_len)
     return near.rlike(fixed.CONTEXT_WORDS) | near.rlike(fixed.ASSIGNMENT)
 
 
@@ -78,7 +76,7 @@ def entropy(
     radius: int = fixed.CONTEXT_RADIUS,
     window: str = "chars",
 ) -> Column:
-    """Findings array. Offsets are worked out only for tokens that pass every other test."""
+    """Findings array. Contexts are put together only for tokens that pass every other test."""
     reason = fixed.ENTROPY_LINE_REASON if window == "line" else fixed.ENTROPY_REASON
 
     def of(sp: Column) -> Column:
@@ -86,7 +84,7 @@ def entropy(
         passing = F.filter(numbered, lambda x: is_candidate(x["t"], min_len, min_bits))
         near = F.filter(
             passing,
-            lambda x: in_context(content, text.span_start(sp, x["i"]), F.length(x["t"]), radius, window),
+            lambda x: in_context(sp, x["t"], x["i"], radius, window, min_len),
         )
 
         def one(x: Column) -> Column:

@@ -47,13 +47,9 @@ def secrets(path: Column, content: Column, lower: Column) -> list[Column]:
 
 def _rule_spans(content: Column, rule_id: str, rx: str) -> Column:
     def of(sp: Column) -> Column:
-        return F.transform(
-            sp["toks"],
-            lambda t, i: F.struct(
-                F.lit(rule_id).alias("rule_id"),
-                text.span_start(sp, i).alias("start"),
-                (text.span_start(sp, i) + F.length(t)).alias("end"),
-            ),
+        return F.zip_with(
+            sp["toks"], text.span_starts(sp),
+            lambda t, at: F.struct(F.lit(rule_id).alias("rule_id"), at.alias("start"), (at + F.length(t)).alias("end")),
         )
 
     return F.when(content.rlike(rx), text.bind(text.spans(content, rx), of)).otherwise(

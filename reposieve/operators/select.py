@@ -85,23 +85,13 @@ def manifest_files(files: DataFrame) -> DataFrame:
 
 
 def cap_files(files: DataFrame, n: int = fixed.MAX_FILES_PER_REPO) -> DataFrame:
-    """First ``n`` files of each repository in path order.
+    """First ``n`` rows of each repository of a listing, in path order; equal paths in the order of their other columns.
 
-    Only the keys are ranked. Each repository with more than ``n`` files yields one
-    row, its last path kept, and the rank filter is applied before the keys are
-    shuffled, so a repository holding most files stays cheap and bodies never move.
+    A listing has no bodies: it is capped before they are read. The rank limit is applied before
+    the shuffle, so of a repository that holds most files only ``n`` rows a task move.
     """
-    w = Window.partitionBy(*REPO).orderBy("path")
-    ranked = files.select(*REPO, "path").withColumn("_rank", F.row_number().over(w))
-    last = (
-        ranked.filter(F.col("_rank") <= n)
-        .groupBy(*REPO)
-        .agg(F.max("path").alias("_last"), F.count(F.lit(1)).alias("_kept"))
-        .filter(F.col("_kept") == n)
-        .select(*REPO, "_last")
-    )
-    return (
-        files.join(last, REPO, "left")
-        .filter(F.col("_last").isNull() | (F.col("path") <= F.col("_last")))
-        .drop("_last")
-    )
+    if "content" in files.columns:
+        raise ValueError("cap a listing without content, before the bodies are read")
+    rest = [c for c in files.columns if c not in (*REPO, "path")]
+    w = Window.partitionBy(*REPO).orderBy("path", *(F.to_json(F.struct(c)) for c in rest))
+    return files.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")

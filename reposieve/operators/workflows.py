@@ -27,26 +27,44 @@ _ARROW = pa.struct([
 ])
 
 
+#: Collections inside each other beyond this are refused: composing them recurses in C and may crash.
+MAX_DEPTH = 500
+
+
 def _text(v) -> str | None:
     return v if isinstance(v, str) else None
 
 
+def _check_depth(source: str, loader) -> None:
+    """Raise on deep nesting. Events come one by one, so counting them needs no recursion."""
+    import yaml
+
+    depth = 0
+    for event in yaml.parse(source, Loader=loader):
+        depth += isinstance(event, yaml.CollectionStartEvent) - isinstance(event, yaml.CollectionEndEvent)
+        if depth > MAX_DEPTH:
+            raise RecursionError(f"nested more than {MAX_DEPTH} deep")
+
+
 def steps_of(source: str) -> list[dict]:
     """Steps of every job of every document. Anything of the wrong shape raises."""
     import yaml
 
     loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
-    out = []
-    for d, doc in enumerate(list(yaml.load_all(source, Loader=loader))):
-        if not isinstance(doc, dict):
-            continue
-        for job, body in (doc.get("jobs") or {}).items():
-            for i, step in enumerate((body or {}).get("steps") or []):
-                out.append({
-                    "doc": d, "job": str(job), "step": i,
-                    "uses": _text(step.get("uses")), "run": _text(step.get("run")),
-                })
-    return out
+    # Each level takes one bracket, dash, colon or question mark at least.
+    if sum(map(source.count, "[{-:?")) > MAX_DEPTH:
+        _check_depth(source, loader)
+    jobs = (
+        (number, str(name), body or {})
+        for number, document in enumerate(list(yaml.load_all(source, Loader=loader)))
+        if isinstance(document, dict)
+        for name, body in (document.get("jobs") or {}).items()
+    )
+    return [
+        {"doc": number, "job": name, "step": at, "uses": _text(step.get("uses")), "run": _text(step.get("run"))}
+        for number, name, body in jobs
+        for at, step in enumerate(body.get("steps") or [])
+    ]
 
 
 def _row(source: str | None) -> dict | None:
@@ -58,8 +76,21 @@ def _row(source: str | None) -> dict | None:
         return {"steps": [], "error": f"{type(e).__name__}: {e}"}
 
 
+def _fits(row: dict | None) -> dict | None:
+    """The row, or an error row if Arrow can't hold it (a lone surrogate, for instance)."""
+    try:
+        pa.array([row], _ARROW)
+        return row
+    except Exception as e:
+        return {"steps": [], "error": f"{type(e).__name__}: {e}"}
+
+
 def _batch(sources: pa.Array) -> pa.Array:
-    return pa.array([_row(s.as_py()) for s in sources], _ARROW)
+    rows = [_row(s.as_py()) for s in sources]
+    try:
+        return pa.array(rows, _ARROW)
+    except Exception:
+        return pa.array([_fits(r) for r in rows], _ARROW)
 
 
 def workflow_steps(source: Column | str) -> Column:

@@ -41,7 +41,7 @@ class Merged:
     globs: DataFrame
 
 
-def documents(reports: DataFrame) -> DataFrame:
+def documents(reports: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Reports in the tolerant document shape; fields they lack are NULL. Needs ``pos`` for order."""
     wanted = reports.sparkSession.createDataFrame([], DOCUMENT).schema
 
@@ -67,7 +67,7 @@ def documents(reports: DataFrame) -> DataFrame:
         F.coalesce(F.col("finished_at"), F.lit("")).alias("at"),
         F.coalesce(F.col("session_id"), F.lit("")).alias("session"),
     )
-    return reports.select(pos.alias("pos"), *cols)
+    return reports.select(pos.alias("pos"), *cols, *(extra or []))
 
 
 def repo_key() -> Column:
@@ -120,12 +120,11 @@ def merge_reports(reports: DataFrame, legacy_flags: bool = False) -> Merged:
     zero = F.lit(0).cast("bigint")
     found, flagged = F.coalesce("_findings", zero), F.coalesce("_flags", zero)
     either = F.when(found > 0, found).otherwise(flagged)
-    full = F.when(
-        F.col("repo_full_name").isNotNull(), F.col("repo_full_name")
-    ).otherwise(F.concat("repo_owner", F.lit("/"), "repo_name"))
+    told = lambda c: F.nullif(F.col(c), F.lit(""))
+    full = F.coalesce(told("repo_full_name"), F.concat(told("repo_owner"), F.lit("/"), told("repo_name")))
     repos = heads.join(n_findings, "repo_key", "left").join(n_flags, "repo_key", "left").select(
         "repo_key",
-        F.coalesce(full, F.col("repo_html_url"), F.lit("unknown")).alias("repo"),
+        F.coalesce(full, told("repo_html_url"), F.lit("unknown")).alias("repo"),
         *(f"repo_{c}" for c in ("full_name", "owner", "name", "html_url", "ref", "commit")),
         *(f"run_{c}" for c in ("id", "session_id", "config_hash")),
         F.coalesce(F.col("_files"), F.col("_safe") + either).alias("files_scanned"),
@@ -207,9 +206,8 @@ def by_label(merged: Merged, legacy_flags: bool = False) -> DataFrame:
 
 def category_share(merged: Merged, key: str = "category") -> DataFrame:
     """Counts with their share of the total, in percent."""
-    rows = labelled(merged)
-    total = rows.agg(F.count(F.lit(1)).alias("t")).scalar()
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = labelled(merged).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("t")).scalar()  # of the few counts, not of all findings again
     return counts.select(key, "n", names.round2(names.pct(F.col("n"), total)).alias("share"))
 
 
@@ -218,15 +216,20 @@ def top_repos(merged: Merged, n: int = 5) -> DataFrame:
 
 
 def flagged_per_repo(reports: DataFrame) -> DataFrame:
-    """Flagged count of each raw report: findings, else flags, else the stored number, else 0."""
-    d = documents(reports)
-    return d.select(
-        repo_key().alias("repo_key"), "session_id",
+    """Flagged count of each raw report: findings, else flags, else the stored number, else 0.
+
+    Parts of one report are added up.
+    """
+    part = F.col("part") if "part" in reports.columns else F.lit(None)
+    d = documents(reports.withColumn("_alone", F.when(part.isNull(), F.monotonically_increasing_id())), ["_alone"])
+    counted = d.select(
+        repo_key().alias("repo_key"), "session_id", "_alone",
         F.when(F.col("findings").isNotNull(), F.array_size("findings"))
         .when(F.col("flags").isNotNull(), F.array_size("flags"))
         .otherwise(F.coalesce("stats.flagged_count", F.lit(0)))
         .cast("bigint").alias("flagged"),
     )
+    return counted.groupBy("repo_key", "session_id", "_alone").agg(F.sum("flagged").alias("flagged")).drop("_alone")
 
 
 def rule_counts(findings: DataFrame, n: int = 10) -> DataFrame:

@@ -176,6 +176,10 @@ def leaderboard(rows: DataFrame, repos: DataFrame) -> DataFrame:
     return number_rows(flat, order, "rank").select("rank", *flat.columns)
 
 
+#: RFC 3339: date, time and offset.
+_DATE_TIME = r"\A\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)\z"
+
+
 def validate_reports(reports: DataFrame) -> DataFrame:
     """``(session_id, field, problem)`` for every rule of the report schema that is broken."""
     def bad(cond: Column, field: str, problem: str) -> Column:
@@ -189,9 +193,11 @@ def validate_reports(reports: DataFrame) -> DataFrame:
     c = F.col
     checks = [bad(c(f).isNull(), f, "missing") for f in required]
     checks += [
-        bad(c(f).isNotNull() & F.try_to_timestamp(c(f)).isNull(), f, "not a date-time")
+        bad(c(f).isNotNull() & (~c(f).rlike(_DATE_TIME) | F.try_to_timestamp(c(f)).isNull()), f, "not a date-time")
         for f in ("started_at", "finished_at")
     ]
+    listed = ["stats.scanners_used"] + ["policy_flags"] * ("policy_flags" in reports.columns)
+    checks += [bad(F.exists(f, lambda x: x.isNull()), f, "missing item") for f in listed]
     checks.append(bad(~c("classification").isin(*fixed.CLASSES), "classification", "not allowed"))
     item = lambda test: F.exists("findings", test)
     checks.append(bad(item(lambda x: ~x["severity"].isin(*fixed.SEVERITIES)), "findings.severity", "not allowed"))

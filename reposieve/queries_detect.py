@@ -152,9 +152,10 @@ def ent6(spark, sf):
     content = F.col("content")
 
     def of(sp):
-        return F.transform(sp["toks"], lambda t, i: F.struct(
-            text.span_start(sp, i).cast("bigint").alias("start_pos"),
-            entropy._char_window(content, text.span_start(sp, i), F.length(t), fixed.CONTEXT_RADIUS).alias("near"),
+        toks = F.arrays_zip(sp["toks"].alias("t"), text.span_starts(sp).alias("at"))
+        return F.transform(toks, lambda x, i: F.struct(
+            x["at"].cast("bigint").alias("start_pos"),
+            entropy.char_window(sp, x["t"], i, fixed.CONTEXT_RADIUS, fixed.TOKEN_MIN_LEN).alias("near"),
         ))
 
     found_ = text.bind(text.spans(content, entropy.token_regex()), of)

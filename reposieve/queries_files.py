@@ -272,7 +272,7 @@ def scf1(spark, sf):
 @query("wn2_cap_files", o.with_(o.FILES) + """
 SELECT owner, name, path FROM files QUALIFY row_number() OVER (PARTITION BY owner, name ORDER BY path) <= 15""")
 def wn2(spark, sf):
-    return select.cap_files(corpus.files(spark, sf), 15).select(*KEY)
+    return select.cap_files(corpus.files(spark, sf).drop("content"), 15).select(*KEY)
 
 
 @query("ag1_repo_stats", o.with_(o.FILES, o.SELECTED) + f"""

@@ -162,16 +162,20 @@ def scf14(spark, sf):
 
 @query("scf15_prune_nulls", """
 SELECT doc_id, concat('{"lang":"', lang, '"', CASE WHEN doc_id % 2 = 0 THEN concat(',"inner":{"id":', CAST(doc_id AS VARCHAR), '}') ELSE '' END,
-   ',"items":["', source, '"]}') AS json FROM documents""")
+   ',"items":["', source, '"],"map":{"l":"m"},"rows":[{"deep":[1]}]}') AS json FROM documents""")
 def scf15(spark, sf):
     from reposieve.sources.sinks import pruned_json
 
     even = F.col("doc_id") % 2 == 0
-    row = F.struct(
-        "lang", F.lit(None).cast("string").alias("gone"),
+    none = F.lit(None).cast("string")
+    rows = corpus.table(spark, sf, "documents").select(
+        "doc_id", "lang", none.alias("gone"),
         F.when(even, F.struct(F.col("doc_id").alias("id"), F.lit(None).cast("int").alias("no"))).alias("inner"),
-        F.filter(F.array(F.lit(None).cast("string"), "source"), lambda x: x.isNotNull()).alias("items"),
+        F.array(none, "source").alias("items"),
+        F.create_map(F.lit("k"), none, F.lit("l"), F.lit("m")).alias("map"),
+        F.array(F.struct(F.array(F.lit(1), F.lit(None).cast("int")).alias("deep"), none.alias("gone"))).alias("rows"),
     )
-    return corpus.table(spark, sf, "documents").select("doc_id", pruned_json(row).alias("json"))
+    fields = [c for c in rows.columns if c != "doc_id"]
+    return rows.select("doc_id", pruned_json(rows, *fields).alias("json"))
 
 

@@ -27,10 +27,11 @@ _ARROW = pa.schema([
 _BATCH_BYTES = 16 << 20
 
 
-def members(body: bytes, max_bytes: int | None) -> Iterator[tuple[str, int, str | None]]:
-    """``(path, length, text)`` of the files of a zip; the first path component goes.
+def members(body: bytes, max_bytes: int | None) -> Iterator[tuple[str, int, str | None, str | None]]:
+    """``(path, length, text, error)`` of the files of a zip; the first path component goes.
 
-    Members over ``max_bytes`` are listed with their length, but not unpacked.
+    Members over ``max_bytes`` are listed with their length, but not unpacked. A damaged
+    member has an error and costs no other one.
     """
     with zipfile.ZipFile(io.BytesIO(body)) as zf:
         for info in zf.infolist():
@@ -38,10 +39,14 @@ def members(body: bytes, max_bytes: int | None) -> Iterator[tuple[str, int, str
             if info.is_dir() or not path:
                 continue
             if max_bytes is not None and info.file_size > max_bytes:
-                yield path, info.file_size, None
+                yield path, info.file_size, None, None
                 continue
-            raw = zf.read(info)
-            yield path, len(raw), raw.decode("utf-8", "ignore")
+            try:
+                raw = zf.read(info)
+            except Exception as e:
+                yield path, info.file_size, None, f"{type(e).__name__}: {e}"
+                continue
+            yield path, len(raw), raw.decode("utf-8", "ignore"), None
 
 
 def _unzip(max_bytes: int | None):
@@ -52,8 +57,8 @@ def _unzip(max_bytes: int | None):
             for archive, body in zip(batch.column("archive"), batch.column("body")):
                 name = archive.as_py()
                 try:
-                    for path, n, text in members(body.as_py(), max_bytes):
-                        rows.append({"archive": name, "path": path, "length": n, "content": text})
+                    for path, n, text, error in members(body.as_py(), max_bytes):
+                        rows.append({"archive": name, "path": path, "length": n, "content": text, "error": error})
                         held += n if text is not None else 0
                         if held >= _BATCH_BYTES:
                             yield pa.RecordBatch.from_pylist(rows, _ARROW)

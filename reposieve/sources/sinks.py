@@ -6,19 +6,33 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RUN_PARTS = ("repos", "leaderboard", "results")
 
 
-def pruned_json(row: Column) -> Column:
-    """JSON without NULL fields; NULL array items are the caller's to filter."""
-    return F.to_json(row)
+def without_nulls(value: Column, kind: T.DataType) -> Column:
+    """``value`` without NULL array items and map values at any depth; NULL fields go when it becomes JSON."""
+    if isinstance(kind, T.StructType):
+        inner = F.struct(*(without_nulls(value[f.name], f.dataType).alias(f.name) for f in kind.fields))
+        return F.when(value.isNotNull(), inner)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(F.filter(value, lambda x: x.isNotNull()), lambda x: without_nulls(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        kept = F.map_filter(value, lambda k, v: v.isNotNull())
+        return F.transform_values(kept, lambda k, v: without_nulls(v, kind.valueType))
+    return value
+
+
+def pruned_json(df: DataFrame, *columns: str) -> Column:
+    """JSON of columns of ``df`` without NULLs at any depth."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    return F.to_json(F.struct(*(without_nulls(F.col(c), kinds[c]).alias(c) for c in columns)))
 
 
 def report_json(reports: DataFrame) -> DataFrame:
-    """One JSON text per report, NULL fields and NULL findings left out."""
-    clean = reports.withColumn("findings", F.filter("findings", lambda x: x.isNotNull()))
-    return clean.select(F.col("repo.owner").alias("owner"), pruned_json(F.struct(*reports.columns)).alias("value"))
+    """One JSON text per report, NULLs left out."""
+    return reports.select(F.col("repo.owner").alias("owner"), pruned_json(reports, *reports.columns).alias("value"))
 
 
 def write_report_log(reports: DataFrame, path: str) -> None:
@@ -35,16 +49,17 @@ def run_lines(repos: DataFrame, board: DataFrame, reports: DataFrame) -> DataFra
     """``(section, value)``: every row of a run as a JSON line of its section."""
     frames = zip(RUN_PARTS, (repos, board, reports))
     lines = [
-        df.select(F.lit(section).alias("section"), pruned_json(F.struct(*df.columns)).alias("value"))
+        df.select(F.lit(section).alias("section"), pruned_json(df, *df.columns).alias("value"))
         for section, df in frames
     ]
     return reduce(DataFrame.unionByName, lines)
 
 
 def run_header(reports: DataFrame, params: dict) -> DataFrame:
-    """One row: the query parameters and the count of results."""
+    """One row: the query parameters and the count of results; parts of one report count once."""
     typed = [F.lit(v).alias(k) for k, v in params.items()]
-    return reports.agg(F.count(F.lit(1)).alias("count")).select(*typed, "count")
+    whole = F.coalesce(F.col("part"), F.lit(0)) == 0 if "part" in reports.columns else F.lit(True)
+    return reports.agg(F.count_if(whole).alias("count")).select(*typed, "count")
 
 
 def write_run(repos: DataFrame, board: DataFrame, reports: DataFrame, params: dict, path: str) -> None:

@@ -208,6 +208,39 @@ def test_broken_sources_become_errors(make_files):
     assert sorted({r["path"] for r in findings_of(scanned).collect()}) == [".github/workflows/c.yml", "ok.py"]
 
 
+def test_deeply_nested_workflow_loses_only_itself(make_files):
+    files = make_files(
+        (".github/workflows/deep.yml", "[" * 200_000), (".github/workflows/maps.yml", "\n".join(" " * i + "a:" for i in range(600))),
+        (".github/workflows/good.yml", "jobs: {b: {steps: [{uses: ./x}]}}"), ("ok.py", "def f(a): eval(a)"),
+    )
+    scanned = scan_files(files, ScanConfig(exclude=()))
+    assert sorted(r["path"] for r in errors_of(scanned).collect()) == [".github/workflows/deep.yml", ".github/workflows/maps.yml"]
+    assert {r["path"] for r in findings_of(scanned).collect()} == {".github/workflows/good.yml", "ok.py"}
+
+
+def test_many_tokens_take_linear_time(make_files):
+    import random
+    import time
+
+    r = random.Random(1)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    body = "\n".join(f"token = {''.join(r.choices(chars, k=44))}" for _ in range(9000))
+    t0 = time.time()
+    found = hits(make_files, ("a.py", body), enabled=("entropy_secrets",))
+    assert len(found) > 8000 and time.time() - t0 < 20
+
+
+def test_char_classes_of_any_script(spark):
+    from pyspark.sql import functions as F
+
+    from reposieve.functions.text import char_classes
+
+    cases = ["aÉ9", "ÉÉ", "é²", "٣x", "+", "", "aA1=", "ß"]
+    want = [any(c.isupper() for c in s) + any(c.islower() for c in s) + any(c.isdigit() for c in s) + any(c in "+/=_-" for c in s) for s in cases]
+    df = spark.createDataFrame([(s,) for s in cases], "s string")
+    assert [x[0] for x in df.select(char_classes(F.col("s"))).collect()] == want
+
+
 def test_lone_surrogate_literal_loses_only_its_file(make_files):
     got = hits(make_files, ("a.py", 'open("\\ud800")'), ("b.py", "def f(p): open(p)"), enabled=("taint_risk",))
     assert [r["path"] for r in got] == ["b.py"]

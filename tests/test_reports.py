@@ -55,6 +55,11 @@ def test_reports_in_parts_are_whole(spark):
     assert max(len(r["findings"]) for r in parts.collect()) < 200
     rows = lambda r: sorted(tuple(x) for x in rt.report_rows(r).drop("scanners_used").collect())
     assert rows(whole) == rows(parts)
+    from reposieve.sources.sinks import run_header
+
+    assert run_header(parts, {}).first()["count"] == run_header(whole, {}).first()["count"] == 3
+    per = lambda r: sorted(x["flagged"] for x in pf.flagged_per_repo(r).collect())
+    assert per(whole) == per(parts)
     a, b = pf.merge_reports(whole), pf.merge_reports(parts)
     assert sorted(map(tuple, a.repos.select("repo", "files_scanned", "flagged").collect())) == sorted(
         map(tuple, b.repos.select("repo", "files_scanned", "flagged").collect()))
@@ -144,10 +149,67 @@ def test_tolerant_loader(spark, tmp_path):
     assert got == ["doc", "arr1", "arr2", "l1", "py", "l2", "r1", "r2"]
 
 
-def test_large_files_are_read_by_line(spark, tmp_path, monkeypatch):
-    (tmp_path / "a.jsonl").write_text("\n".join(golden_lines()))
-    monkeypatch.setattr(docs, "DOCUMENT_BYTES", 10)
-    assert docs.read_reports(spark, str(tmp_path)).count() == 13
+def test_layouts_give_equal_rows_at_any_size(spark, tmp_path):
+    """Split blocks are far smaller than the files, so documents span many of them."""
+    reports = [dict(json.loads(x), session_id=f"s{i}-{k}") for k in range(20) for i, x in enumerate(golden_lines())]
+    layouts = {
+        "lines": "\n".join(map(json.dumps, reports)), "crlf": "// note\r\n" + "\r\n".join(map(json.dumps, reports)),
+        "pretty": json.dumps(reports, indent=2), "one": json.dumps(reports), "run": json.dumps({"query": "q", "results": reports}, indent=1),
+        "literals": "\n".join(map(repr, reports)),
+    }
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        for name, body in layouts.items():
+            (tmp_path / name).mkdir()
+            (tmp_path / name / "a.json").write_bytes(body.encode())
+            rows = docs.read_reports(spark, str(tmp_path / name)).orderBy("pos").select("session_id", "classification").collect()
+            assert [tuple(r) for r in rows] == [(r["session_id"], r["classification"]) for r in reports], name
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_blank_names_fall_back(spark):
+    rows = [("", "o", "n", None), ("a/b", "o", "n", None), ("", "", "n", "https://h/x/y"), (None, None, None, None)]
+    frame = spark.createDataFrame(
+        [(f"s{i}", "2025-01-01T00:00:00Z", r) for i, r in enumerate(rows)],
+        "session_id string, finished_at string, repo struct<full_name:string,owner:string,name:string,html_url:string>",
+    )
+    names_ = {r["repo"] for r in pf.merge_reports(frame).repos.collect()}
+    assert {"o/n", "a/b", "https://h/x/y"} <= names_ and "" not in names_
+
+
+def test_pruning_at_every_depth(spark):
+    from reposieve.sources.sinks import pruned_json
+
+    df = spark.createDataFrame([(["x", None], {"k": None, "l": [None, 1]}, [{"a": None, "b": [None, "y"]}])],
+                               "a array<string>, m map<string,array<int>>, s array<struct<a:string,b:array<string>>>")
+    assert json.loads(df.select(pruned_json(df, "a", "m", "s")).first()[0]) == {"a": ["x"], "m": {"l": [1]}, "s": [{"b": ["y"]}]}
+
+
+def test_date_times_and_items_are_checked(spark, golden):
+    from pyspark.sql import functions as F
+
+    one = golden.limit(1)
+    for text, ok in (("2025-11-07T12:38:51Z", True), ("2025-11-07T12:38:51.5+01:00", True), ("2025", False), ("2025-01-01", False), ("2025-13-01T00:00:00Z", False)):
+        bad = [r["field"] for r in rt.validate_reports(one.withColumn("finished_at", F.lit(text)).withColumn("started_at", F.lit(text))).collect()]
+        assert ("finished_at" not in bad) == ok, text
+    item = one.withColumn("stats", F.col("stats").withField("scanners_used", F.array(F.lit(None).cast("string"))))
+    assert ("stats.scanners_used", "missing item") in {(r["field"], r["problem"]) for r in rt.validate_reports(item).collect()}
+
+
+def test_damaged_member_costs_only_itself(spark, tmp_path):
+    path = tmp_path / "own__repo.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for i in range(5):
+            z.writestr(f"r/f{i}.py", f"x = {i}")
+    body = bytearray(path.read_bytes())
+    at = body.index(b"x = 1")
+    body[at:at + 5] = b"y = 1"  # the checksum no longer fits
+    path.write_bytes(body)
+    files, errors = fs.read_archives(spark, str(tmp_path))
+    assert sorted(r["path"] for r in files.collect()) == ["f0.py", "f2.py", "f3.py", "f4.py"]
+    assert errors.count() == 1
 
 
 def test_repo_lists(spark, tmp_path):

@@ -1,3 +1,4 @@
+import pytest
 import fnmatch
 import os
 
@@ -80,9 +81,13 @@ def test_binary_matches_isprintable(spark):
 
 def test_cap_files(make_files):
     files = make_files(*((f"f{i:03}.py", "x") for i in range(40))).union(make_files(("a.py", "y"), name="small"))
-    kept = select.cap_files(files, 7).collect()
+    with pytest.raises(ValueError):
+        select.cap_files(files, 7)
+    again = files.drop("content").union(files.drop("content"))  # equal paths count, too
+    assert [n for _, n in again.transform(select.cap_files, 7).groupBy("name").count().orderBy("name").collect()] == [7, 2]
+    kept = select.cap_files(files.drop("content"), 7).collect()
     assert sorted(r["path"] for r in kept if r["name"] == "r") == [f"f{i:03}.py" for i in range(7)]
-    assert [r["content"] for r in kept if r["name"] == "small"] == ["y"]
+    assert [r["path"] for r in kept if r["name"] == "small"] == ["a.py"]
 
 
 def test_effective_ignores():
