@@ -42,7 +42,6 @@ TELLING = 5.0
 LIFT = 8
 PENALTY, ROUNDS = 0.003, 400
 _WORDS = re.compile(r"[^\W\d_]+")
-_SPACE = 1 << 20
 
 
 def words(text: bytes | None) -> set[str]:
@@ -54,7 +53,7 @@ def features(word: str) -> list[int]:
     import xxhash
 
     named = ["w" + word] + [f"{n}{word[:n]}" for n in PREFIXES if len(word) >= n]
-    return [xxhash.xxh32_intdigest(x.encode()) % _SPACE for x in named]
+    return [xxhash.xxh32_intdigest(x.encode()) for x in named]
 
 
 @dataclass(frozen=True)
@@ -86,6 +85,14 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, n: in
     return per_row(rows, ["toxic"], "_text", count, "hits binary, n long")
 
 
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of values in a sorted array, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), int), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 def _fit(toxic: np.ndarray, docs: list[np.ndarray], sizes: np.ndarray) -> Model:
     empty = Model({}, tuple(range(1, GRADES + 1)), float("inf"))
     if not (toxic == 1).any() or not (toxic == 0).any():
@@ -93,14 +100,13 @@ def _fit(toxic: np.ndarray, docs: list[np.ndarray], sizes: np.ndarray) -> Model:
     held = np.arange(len(docs)) % 5 == 4
     if len(set(toxic[~held])) < 2 or len(set(toxic[held])) < 2:
         held = np.zeros(len(docs), bool)
-    row = np.repeat(np.arange(len(docs)), [len(x) for x in docs])
-    cell, times = np.unique(row.astype(np.int64) * _SPACE + np.concatenate(docs), return_counts=True)
-    row, col = cell // _SPACE, cell % _SPACE
-    learn = ~held[row]
-    # Association: signed root of the likelihood ratio, approximated by a z-score of document shares.
     n1, n0 = (~held & (toxic == 1)).sum(), (~held & (toxic == 0)).sum()
-    in1 = np.bincount(col[learn & (toxic[row] == 1)], minlength=_SPACE)
-    in0 = np.bincount(col[learn & (toxic[row] == 0)], minlength=_SPACE)
+    told_by = [np.concatenate([np.unique(docs[k]) for k in np.flatnonzero(~held & (toxic == v))]) for v in (1, 0)]
+    keys, in1 = np.unique(told_by[0], return_counts=True)  # features of clean documents only can't tell
+    clean, times = np.unique(told_by[1], return_counts=True)
+    at, known = _find(clean, keys)
+    in0 = np.where(known, times[at], 0)
+    # Association: z-score of the difference between the shares of toxic and clean documents.
     share = (in1 + in0 + 1) / (n1 + n0 + 2)
     z = (in1 / n1 - in0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-9)
     z[in1 / n1 < LIFT * in0 / n0] = 0
@@ -108,10 +114,10 @@ def _fit(toxic: np.ndarray, docs: list[np.ndarray], sizes: np.ndarray) -> Model:
     chosen = np.sort(chosen[z[chosen] > TELLING])
     if not len(chosen):
         return empty
-    place = np.full(_SPACE, -1)
-    place[chosen] = np.arange(len(chosen))
-    some = place[col] >= 0
-    row, col, times = row[some], place[col[some]], np.log1p(times[some])
+    # Only the chosen features of each document are kept: the table that is fitted stays small.
+    found = [np.unique(at[hit], return_counts=True) for at, hit in (_find(keys[chosen], x) for x in docs)]
+    row = np.repeat(np.arange(len(docs)), [len(f) for f, _ in found])
+    col, times = np.concatenate([f for f, _ in found]), np.log1p(np.concatenate([c for _, c in found]))
     # Severity grades of the toxic documents: rank of the share of telling words.
     strong = in0[chosen] <= 0.02 * in1[chosen]
     told = np.bincount(row[strong[col]], minlength=len(docs)) / np.maximum(sizes, 1)
@@ -120,7 +126,7 @@ def _fit(toxic: np.ndarray, docs: list[np.ndarray], sizes: np.ndarray) -> Model:
     grade[bad[np.argsort(told[bad], kind="stable")]] = 1 + np.arange(len(bad)) * GRADES // len(bad)
     weights, cuts = _descend(row, col, times, grade, ~held, len(chosen))
     score = np.bincount(row, weights[col] * times, minlength=len(docs))
-    model = Model({int(f): float(w) for f, w in zip(chosen, weights) if w}, tuple(cuts), 0.0)
+    model = Model({int(f): float(w) for f, w in zip(keys[chosen], weights) if w}, tuple(cuts), 0.0)
     at = np.array([model.severity(s) for s in score])
     judge = held if held.any() else np.ones(len(docs), bool)
     return Model(model.weights, model.cuts, _threshold(at[judge], toxic[judge]))
