@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from reposieve.operators import repos as rp
 from reposieve.plans import portfolio as pf
 from reposieve.plans import reports as rt
 from reposieve.plans.scan import classify, findings_of, repo_summary, scan, scan_files
-from reposieve.session import reliable
+from reposieve.session import reliable, shared_folder
 from reposieve.sources import documents as docs
 from reposieve.sources import sinks
 
@@ -434,3 +436,37 @@ def udf4(spark, sf):
 def std1(spark, sf):
     return merged(spark, sf).findings.groupBy("rule_id", "severity").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("paths"))
+
+
+@query("snk3_run_header", o.REPORTS + "SELECT 'q' AS query, count(*) AS count FROM summary")
+def snk3_run_header(spark, sf):
+    """The header counts reports, however many parts they are stored in."""
+    return sinks.run_header(reports(spark, sf, part_rows=20), {"query": "q"})
+
+
+@query("src5_read_documents", """
+SELECT concat(layout, '-', CAST(doc_id AS VARCHAR)) AS session_id, CASE WHEN doc_id % 3 = 0 THEN 'Threat' ELSE 'Safe' END AS classification, text AS summary
+FROM documents, (SELECT unnest(['line', 'array', 'run', 'literal']) AS layout)""")
+def src5_read_documents(spark, sf):
+    """Reports landed as lines, arrays over many lines, aggregate documents and literals, through the reader."""
+    folder = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex[:12]}"
+    d = corpus.table(spark, sf, "documents")
+    label = F.when(F.col("doc_id") % 3 == 0, "Threat").otherwise("Safe").alias("classification")
+
+    def report(layout):
+        return F.struct(F.concat(F.lit(f"{layout}-"), F.col("doc_id").cast("string")).alias("session_id"), label, F.col("text").alias("summary"))
+
+    d.select(F.to_json(report("line")).alias("value")).write.text(f"{folder}/line")
+    literal = F.to_json(F.struct(report("literal")["session_id"].alias("session_id"), label, F.col("text").alias("summary")))
+    d.select(F.concat(F.left(literal, F.length(literal) - 1), F.lit(", 'status': None}")).alias("value")).write.text(f"{folder}/literal")
+    for layout, frame in (("array", "[\n%s\n]"), ("run", '{"query": "q",\n"results": [\n%s\n]}')):
+        # A few hundred reports make one document.
+        before, after = frame.split("%s")
+        part = d.groupBy(F.floor(F.col("doc_id") / 300).alias("part")).agg(F.collect_list(F.to_json(report(layout))).alias("u"))
+        body = F.concat(F.lit(before), F.array_join("u", ",\n"), F.lit(after))
+        part.select("part", body.alias("value")).write.partitionBy("part").text(f"{folder}/{layout}")
+    found = docs.read_reports(spark, [f"{folder}/{x}" for x in ("line", "literal", "array/*", "run/*")])
+    out = reliable(found.select("session_id", "classification", "summary"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder for data that must outlive an executor: the one ``spark.checkpoint.dir`` names.
 
     Only a local master may fall back to a temporary folder: on a cluster it would not
-    be shared.
+    be shared. It says so, and the folder goes when the process ends.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -37,6 +40,8 @@ def shared_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="reposieve-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+        warnings.warn(f"spark.checkpoint.dir is not set: intermediate data go to {named} until this process ends", stacklevel=2)
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
