@@ -51,6 +51,13 @@ def _target(c: Column) -> Column:
     return F.concat_ws(".", c["mod"], c["fn"])
 
 
+def _read_facts(facts: Column, calls: Column) -> Column:
+    """Facts about names that a call or a copy reads; a file of many parameters has few of those."""
+    copies = F.transform(F.filter(facts, lambda x: x["kind"] == "copy"), lambda x: x["src"])
+    names = F.array_distinct(F.array_compact(F.concat(F.flatten(F.transform(calls, lambda c: c["args"])), copies)))
+    return bind(names, lambda n: F.filter(facts, lambda x: (x["kind"] != "call") & F.array_contains(n, x["name"])))
+
+
 def resolved_calls(facts: Column) -> Column:
     """Calls with what the rules ask for: target, taint of the arguments, literal host."""
 
@@ -65,7 +72,7 @@ def resolved_calls(facts: Column) -> Column:
         )
 
     calls = F.filter(facts, lambda x: x["kind"] == "call")
-    return bind(taint_times(facts), lambda t: F.transform(calls, lambda c: one(c, t)))
+    return bind(taint_times(_read_facts(facts, calls)), lambda t: F.transform(calls, lambda c: one(c, t)))
 
 
 def call_rules(calls: Column, policy: Policy) -> Column:

@@ -230,6 +230,15 @@ def test_many_tokens_take_linear_time(make_files):
     assert len(found) > 8000 and time.time() - t0 < 20
 
 
+def test_many_parameters_take_linear_time(make_files):
+    import time
+
+    names = ", ".join(f"parameter_name_{i:08}" for i in range(16000))
+    t0 = time.time()
+    found = hits(make_files, ("a.py", f"def f({names}):\n  x = parameter_name_00000007\n  eval(x)\n"), enabled=("taint_risk",))
+    assert len(found) == 1 and time.time() - t0 < 20
+
+
 def test_char_classes_of_any_script(spark):
     from pyspark.sql import functions as F
 
