@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reposieve.session import shared_folder
 
@@ -62,3 +63,14 @@ def per_row(df: DataFrame, keep: list[str], column: str, make: Callable[[bytes |
             )
 
     return df.select(*keep, column).mapInArrow(run, f"{kept}, {schema}")
+
+
+def one_of_group(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each group of ``groups(_id, text_hash, root)``: the smallest by id, NULL last, then by hash of the text."""
+    each = groups.groupBy("root", "_id", "text_hash").agg(F.count(F.lit(1)).alias("_n"))
+    least = each.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "text_hash", "_n")).alias("one"))
+    kept = least.select(F.col("one._id").alias("_kept"), F.col("one.text_hash").alias("_hash"), F.col("one._n").alias("_n"))
+    kept = Workspace(docs.sparkSession, "one-of-group").land(kept, "ids")
+    rows = docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept")) & (F.xxhash64(docs[text_col]) == F.col("_hash")))
+    again = rows.filter("_n > 1").dropDuplicates(["_kept", "_hash"])
+    return rows.filter("_n = 1").unionByName(again).drop("_kept", "_hash", "_n")
