@@ -59,13 +59,16 @@ def targets(sources: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFr
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[int, ...] = (1, 2, 3), epochs: int = EPOCHS, seed: str = "mix",
+    weights: tuple[int, ...] = (1, 2, 3), epochs: int = EPOCHS, seed: str = "mix", row_col: str | None = None,
 ) -> DataFrame:
-    """``(id, size, source_size, target, taken)`` of every row; ``taken`` counts repeats."""
+    """``(id, size, source_size, target, taken)`` of every row; ``taken`` counts repeats.
+
+    ``row_col`` is a column that is returned besides.
+    """
     work = Workspace(docs.sparkSession, "mixing")
     sized = work.land(docs.select(
         F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("size"),
-        random_key(F.col(id_col), seed).alias("_key"),
+        random_key(F.col(id_col), seed).alias("_key"), *([F.col(row_col).alias("_row")] if row_col else []),
     ), "sized")
     sizes = sized.groupBy("_source").agg(F.sum("size").alias("source_size"))
     ranked = number_rows(sizes, [F.col("_source").asc_nulls_last()], "_rank")
@@ -92,15 +95,17 @@ def mix(
         .select(
             F.col("_id").alias(id_col), "size", "source_size", "target",
             (whole * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))).cast("long").alias("taken"),
+            *([F.col("_row").alias(row_col)] if row_col else []),
         )
     )
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The documents that the mix takes, with the tokens taken of each as ``taken``."""
-    part = mix(docs, id_col, **how).groupBy(F.col(id_col).alias("_of")).agg(F.sum("taken").alias("taken"))
-    rows = docs.drop("taken")
-    return rows.join(part.filter("taken > 0"), rows[id_col].eqNullSafe(F.col("_of"))).drop("_of")
+    numbered = docs.drop("taken").withColumn("_mix_row", F.monotonically_increasing_id())
+    rows = Workspace(docs.sparkSession, "mixed").land(numbered, "rows")  # the numbers stay what they are
+    part = mix(rows, id_col, row_col="_mix_row", **how).filter("taken > 0").select("_mix_row", "taken")
+    return rows.join(part, "_mix_row").drop("_mix_row")
 
 
 #: The same mix for ``documents`` in SQL.

@@ -50,6 +50,14 @@ def test_mixed_keeps_columns(spark):
     assert set(kept.columns) == set(df.columns) and kept.filter("taken <= 0").count() == 0
 
 
+def test_rows_that_repeat_an_id_have_their_own_share(spark):
+    table = [(i % 3, prose(i, 10 + i), "en", "ab"[i % 2], 0) for i in range(12)] + [(0, prose(0, 10), "en", "a", 0)]
+    df = spark.createDataFrame(table, SCHEMA)
+    kept = mixing.mixed(df).collect()
+    assert sum(r.taken for r in kept) == sum(r.taken for r in mixing.mix(df).collect())
+    assert all(0 < r.taken <= 3 * len(r.text.split()) for r in kept)
+
+
 def test_query(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = sorted(map(tuple, queries.QUERIES["op7_mixing"](spark, "/root/testdata/sf0.001").collect()), key=repr)
