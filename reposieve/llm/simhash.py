@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reposieve.llm.common import LOWER, Workspace, per_row
+from reposieve.llm.common import LOWER, Workspace, one_of_group, per_row
 from reposieve.llm.components import components
 
 SEED = 42
@@ -167,10 +167,8 @@ def links(work: Workspace, fps: DataFrame, distance: int = 3) -> DataFrame:
     return all_links
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3
-) -> DataFrame:
-    """``(id, text_hash, fp, component_id)`` of every row; ``component_id`` is the smallest id reachable by links."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, distance: int) -> DataFrame:
+    """``(_id, text_hash, fp, root, component_id)`` of every row; ``root`` tells groups apart, also where ids repeat."""
     work = Workspace(docs.sparkSession, "simhash")
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("_text"))
     prints = work.land(fingerprints(rows, ["_id", "text_hash"], "_text", words), "prints")
@@ -182,16 +180,22 @@ def near_duplicates(
         ), "placed",
     )
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = work.land(placed.join(least, "root").select("fp", "component_id"), "named")
+    named = work.land(placed.join(least, "root").select("fp", "root", "component_id"), "named")
     work.drop("fps", "placed")
-    return prints.join(named, "fp").select(F.col("_id").alias(id_col), "text_hash", "fp", "component_id")
+    return prints.join(named, "fp").select("_id", "text_hash", "fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The document with the smallest id of every group; rows that repeat id and text are one document."""
-    groups = near_duplicates(docs, id_col, text_col, **how).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = groups.groupBy(F.col(id_col).alias("_kept"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_n"))
-    kept = Workspace(docs.sparkSession, "simhash-kept").land(kept, "ids")
-    rows = docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept")) & (F.xxhash64(docs[text_col]) == F.col("_hash")))
-    again = rows.filter("_n > 1").dropDuplicates(["_kept", "_hash"])
-    return rows.filter("_n = 1").unionByName(again).drop("_kept", "_hash", "_n")
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3
+) -> DataFrame:
+    """``(id, text_hash, fp, component_id)`` of every row; ``component_id`` is the smallest id reachable by links."""
+    return _grouped(docs, id_col, text_col, words, distance).select(
+        F.col("_id").alias(id_col), "text_hash", "fp", "component_id"
+    )
+
+
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3
+) -> DataFrame:
+    """The document with the smallest id of every group, NULL last; one row, also where ids repeat."""
+    return one_of_group(docs, _grouped(docs, id_col, text_col, words, distance), id_col, text_col)

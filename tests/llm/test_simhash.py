@@ -87,6 +87,14 @@ def test_one_of_each_keeps_whole_rows(spark):
     assert len(ids) == len(set(ids)) and 3 in ids and 4 not in ids and 77 not in ids
 
 
+def test_one_of_each_keeps_one_row_where_ids_repeat_or_are_null(spark):
+    table = [(1, near(5, 0), "en", "a", 1), (1, near(5, 0).upper(), "en", "a", 1), (1, prose(9, 60), "en", "a", 1),
+             (None, near(6, 0), "en", "a", 1), (None, near(6, 0).upper(), "en", "a", 1)]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text.lower()) for r in simhash.one_of_each(df).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, near(5, 0)), (1, prose(9, 60)), (None, near(6, 0))], key=repr)
+
+
 def test_query(spark):
     df = queries.QUERIES["op2_simhash"](spark, "/root/testdata/sf0.001")
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
