@@ -69,7 +69,10 @@ class Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """``(toxic, words, hits)`` of at most ``n`` labelled documents of each value."""
+    """``(toxic, hits, n)`` of at most ``n`` different documents of each value, among those of ``n`` labelled ids.
+
+    Rows with equal features are merged before the limit, so neither copies nor repeated ids add to it.
+    """
     votes = labels.filter("toxic is not null").groupBy(F.col("doc_id").alias("_of")).agg(F.max("toxic").alias("toxic"))
     some = None
     for value in (0, 1):
@@ -82,7 +85,13 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, n: in
         hits = np.sort(np.array([x for xs in found for x in xs], np.uint32))
         return hits.tobytes(), len(found)
 
-    return per_row(rows, ["toxic"], "_text", count, "hits binary, n long")
+    found = per_row(rows, ["toxic"], "_text", count, "hits binary, n long")
+    found = found.groupBy("toxic", F.sha2("hits", 256).alias("_sha")).agg(F.first("hits").alias("hits"), F.max("n").alias("n"))
+    some = None
+    for value in (0, 1):
+        part = found.filter(F.col("toxic") == value).orderBy("_sha").limit(n).drop("_sha")
+        some = part if some is None else some.unionByName(part)
+    return some
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +182,7 @@ def _threshold(severity: np.ndarray, toxic: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SAMPLE) -> Model:
     """Model from a bounded sample: at most ``2 n`` documents reach the driver, as hashed features."""
-    rows = {(bytes(r.hits), r.toxic): r.n for r in sample(docs, labels, id_col, text_col, n).collect()}  # copies count once
+    rows = {(bytes(r.hits), r.toxic): r.n for r in sample(docs, labels, id_col, text_col, n).collect()}
     if not rows:
         return Model({}, tuple(range(1, GRADES + 1)), float("inf"))
     found = sorted(rows.items(), key=lambda r: (hashlib.md5(r[0][0]).digest(), r[0][1]))

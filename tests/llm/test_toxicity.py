@@ -58,6 +58,14 @@ def test_without_labels_nothing_is_rejected(spark):
     assert toxicity.accepted(docs(spark, []), labels).count() == 0
 
 
+def test_the_sample_is_bounded_in_rows(spark):
+    df, labels = corpus(spark, 40)
+    one = labels.filter("toxic = 0").first().doc_id
+    more = df.limit(0).union(spark.createDataFrame([(one, prose(5000 + i % 50, 30), "en", "a", 1) for i in range(200)], df.schema))
+    found = toxicity.sample(df.unionByName(more), labels, "doc_id", "text", 10).collect()
+    assert all(sum(r.toxic == v for r in found) <= 10 for v in (0, 1)) and len(found) > 10
+
+
 def test_query(spark):
     found = queries.QUERIES["op10_toxicity"](spark, "/root/testdata/sf0.001")
     assert found.columns[0] == "doc_id" and found.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
