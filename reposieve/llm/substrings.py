@@ -1,9 +1,8 @@
 """Removal of long repeated substrings, at byte level and exact.
 
 A suffix array would be sorted to the depth of ``length`` bytes only: what counts is which starts share
-a prefix that long with a neighbour. As in the difference-cover construction, a sample of positions
-is named and compared first, names are refined by recursion, and all other starts are
-decided relative to the sample:
+a prefix that long. Suffix order and the comparison of adjacent prefixes are replaced by grouping: nothing is
+sorted or ranked; ranges of starts before sampled positions are grouped by hash and refined:
 
 1. Cover. The sample holds the smallest ``length // 4``-gram of each window of ``length`` bytes, so two equal
    windows have a sampled position at the same offset (what residues of a difference cover
