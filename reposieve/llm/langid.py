@@ -28,6 +28,8 @@ from reposieve.llm.common import per_row, texts
 ORDER = 5
 #: Documents of each language that its model is fitted on, about; a fifth as many calibrate.
 SAMPLE = 1500
+#: Languages of fewer documents are learned from all of them and calibrated on those of other languages.
+SPLIT = 30
 FOLDS = 3
 #: A text is rejected if it is this many deviations above the mean cross-entropy of its language.
 REJECT = 6.0
@@ -176,7 +178,10 @@ def fit(
     share = F.element_at(F.create_map(*(F.lit(x) for k, v in sorted(sizes.items()) for x in (k, min(1.0, 1.2 * n / v)))), F.col("lang"))
     spot = F.pmod(F.xxhash64(F.lit("langid"), "_id"), F.lit(1 << 30)) / (1 << 30)
     picked = rows.withColumn("_at", spot / share).filter("_at < 1")
-    learn = picked.filter(F.col("_at") < 1 / 1.2).select("lang", "_text")
+    # Too few to spare a part for calibration: such a language is learned from all its rows.
+    split = ~F.col("lang").isin([x for x, v in sizes.items() if v < SPLIT])
+    held = split & (F.col("_at") >= 1 / 1.2)
+    learn = picked.filter(~held).select("lang", "_text")
     counted = (
         learn.mapInArrow(_count_rows, "lang string, gram string, n long")
         .filter(~F.col("gram").contains(_BREAK)).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -193,7 +198,7 @@ def fit(
         plain = letters(text)
         return (models.entropy(plain).tolist() if plain else None,)
 
-    check = per_row(picked.filter(F.col("_at") >= 1 / 1.2), ["lang"], "_text", entropies, "ce array<double>")
+    check = per_row(picked.filter(held), ["lang"], "_text", entropies, "ce array<double>")
     check = check.filter("ce is not null").collect()
     return calibrate(models, [r.lang for r in check if r.lang in langs], np.array([r.ce for r in check if r.lang in langs]))
 

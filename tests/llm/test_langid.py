@@ -85,6 +85,12 @@ def test_nothing_to_learn(spark):
     assert langid.identify(docs(spark, ["abc"]), None, ["doc_id"]).first().lang_pred == "und"
 
 
+def test_languages_of_one_document_are_learned(spark):
+    table = [(i, prose(i, 30), f"l{i:02}", "a", 0) for i in range(24)]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
+    assert langid.fit(df, F.lit(True)).langs == [r[2] for r in table]
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     found = queries.QUERIES["op3_language"](spark, sf).toPandas()
