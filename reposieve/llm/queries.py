@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposieve.llm import ann, decontam, html_text, langid, licenses, mixing, simhash, substrings, toxicity, urls
+from reposieve.llm import (
+    ann, decontam, html_text, infill, langid, licenses, mixing, runs, secret_index, simhash, substrings, toxicity, urls,
+)
 from reposieve.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +81,23 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")), ["doc_id"])
+
+
+@query("op11_secrets")
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_index.digests(read(spark, sf_dir, "documents"))
+
+
+@query("op12_infill", infill.INFILL_SQL)
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infill.transform(read(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"),
+        sha(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+@query("op13_runs")
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(read(spark, sf_dir, "documents"))
