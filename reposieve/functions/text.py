@@ -95,10 +95,13 @@ def shannon_entropy(s: Column) -> Column:
     )
 
 
-def char_classes(s: Column) -> Column:
-    """How many of upper, lower, digit and ``+/=_-`` occur, letters and digits of any script."""
-    kinds = (r"\p{IsUppercase}", r"\p{IsLowercase}", f"[\\p{{Nd}}{DIGITS}]", "[+/=_-]")
-    return sum((s.rlike(rx).cast("int") for rx in kinds[1:]), s.rlike(kinds[0]).cast("int"))
+def char_classes(s: Column, ascii_only: bool = False) -> Column:
+    """How many of upper, lower, digit and ``+/=_-`` occur, letters and digits of any script.
+
+    ``ascii_only`` is for text that is known to be ASCII: the same number from smaller classes.
+    """
+    letters = ("[A-Z]", "[a-z]", "[0-9]") if ascii_only else (r"\p{IsUppercase}", r"\p{IsLowercase}", f"[\\p{{Nd}}{DIGITS}]")
+    return sum((s.rlike(rx).cast("int") for rx in letters), s.rlike("[+/=_-]").cast("int"))
 
 
 def is_binary(text: Column) -> Column:

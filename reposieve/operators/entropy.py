@@ -37,7 +37,7 @@ def is_candidate(
         & ~safe
         & ~tok.rlike(fixed.UUID_SHAPE)
         & ~tok.rlike(fixed.HEX_SHAPE)
-        & (text.char_classes(tok) >= fixed.TOKEN_MIN_CLASSES)
+        & (text.char_classes(tok, ascii_only=True) >= fixed.TOKEN_MIN_CLASSES)
         & (text.shannon_entropy(tok) >= min_bits)
     )
 

@@ -2,7 +2,8 @@
 
 One Arrow batch of sources in, one array of facts per source out. A fact is a
 parameter, a ``name = name`` assignment, or a call of a watched function, in the
-order a parent-first walk meets them.
+order a parent-first walk meets them. The walk keeps a table of tainted names, so a fact that
+taints a name first says so, and a call has for each argument the position since which it is tainted.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ WATCHED = frozenset(
 )
 FACT = (
     "struct<kind:string,seq:int,name:string,src:string,mod:string,fn:string,attr:boolean,"
-    "args:array<string>,lit:string,shell:int>"
+    "args:array<string>,lit:string,shell:int,taints:boolean,since:array<int>>"
 )
 RESULT = f"struct<facts:array<{FACT}>,error:string>"
 _ARROW = pa.struct([
@@ -37,6 +38,7 @@ _ARROW = pa.struct([
         ("kind", pa.string()), ("seq", pa.int32()), ("name", pa.string()), ("src", pa.string()),
         ("mod", pa.string()), ("fn", pa.string()), ("attr", pa.bool_()),
         ("args", pa.list_(pa.string())), ("lit", pa.string()), ("shell", pa.int32()),
+        ("taints", pa.bool_()), ("since", pa.list_(pa.int32())),
     ]))),
     ("error", pa.string()),
 ])
@@ -46,7 +48,7 @@ def _name(node) -> str | None:
     return node.id if isinstance(node, ast.Name) else None
 
 
-def _call(node: ast.Call, seq: int) -> dict | None:
+def _call(node: ast.Call, seq: int, since: dict[str, int]) -> dict | None:
     attr = isinstance(node.func, ast.Attribute)
     fn = node.func.attr if attr else _name(node.func)
     if fn not in WATCHED:
@@ -57,10 +59,11 @@ def _call(node: ast.Call, seq: int) -> dict | None:
         k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True
         for k in node.keywords
     )
+    args = [_name(a) for a in node.args]
     return {
         "kind": "call", "seq": seq, "fn": fn, "attr": attr, "lit": lit, "shell": shell,
         "mod": _name(node.func.value) if attr else None,
-        "args": [_name(a) for a in node.args],
+        "args": args, "since": [since.get(a) for a in args],
     }
 
 
@@ -70,18 +73,26 @@ def facts_of(source: str) -> list[dict]:
         warnings.simplefilter("ignore")
         todo = [ast.parse(source)]
     out: list[dict] = []
+    since: dict[str, int] = {}  # where a name was tainted first
     calls = seq = 0
+
+    def flow(kind: str, name: str, tainted: bool, src: str | None = None) -> None:
+        taints = tainted and name not in since
+        if taints:
+            since[name] = seq
+        out.append({"kind": kind, "seq": seq, "name": name, "src": src, "taints": taints})
+
     while todo:
         node = todo.pop()
         seq += 1
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            out += ({"kind": "param", "seq": seq, "name": a.arg} for a in node.args.args)
+            for a in node.args.args:
+                flow("param", a.arg, True)
         elif isinstance(node, ast.Assign) and isinstance(node.value, ast.Name):
-            out += (
-                {"kind": "copy", "seq": seq, "name": t.id, "src": node.value.id}
-                for t in node.targets if isinstance(t, ast.Name)
-            )
-        elif isinstance(node, ast.Call) and (fact := _call(node, seq)):
+            for t in node.targets:
+                if isinstance(t, ast.Name):
+                    flow("copy", t.id, node.value.id in since, node.value.id)
+        elif isinstance(node, ast.Call) and (fact := _call(node, seq, since)):
             out.append(fact)
             calls += 1
         todo.extend(reversed(list(ast.iter_child_nodes(node))))

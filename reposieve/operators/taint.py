@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from reposieve import fixed
 from reposieve.functions import hosts
-from reposieve.functions.text import bind
 from reposieve.operators import finding as f
 from reposieve.operators.static import is_call_of
 from reposieve.policy import Policy
@@ -16,34 +15,9 @@ SCANNER = "taint_risk"
 
 
 def taint_times(facts: Column) -> Column:
-    """Map of each tainted name to the position at which it first became tainted.
-
-    Facts come in walk order and belong to one file of bounded size, so the flow is
-    a fold inside the row: no shuffle and no iteration over joins.
-    """
-    start = F.expr("cast(map() as map<string,int>)")
-
-    def step(seen: Column, x: Column) -> Column:
-        tainted = (x["kind"] == "param") | F.coalesce(F.map_contains_key(seen, x["src"]), F.lit(False))
-        return F.when(
-            tainted & ~F.map_contains_key(seen, x["name"]),
-            F.map_concat(seen, F.create_map(x["name"], x["seq"])).cast("map<string,int>"),
-        ).otherwise(seen)
-
-    flow = F.filter(facts, lambda x: (x["kind"] == "param") | (x["kind"] == "copy"))
-    # map_contains_key rejects a NULL key: parameters have no source name.
-    flow = F.transform(
-        flow,
-        lambda x: F.struct(
-            x["kind"].alias("kind"), x["seq"].alias("seq"), x["name"].alias("name"),
-            F.coalesce(x["src"], F.lit("")).alias("src"),
-        ),
-    )
-    return F.aggregate(flow, start, step)
-
-
-def _tainted(times: Column, name: Column, seq: Column) -> Column:
-    return F.coalesce(F.try_element_at(times, F.coalesce(name, F.lit(""))) < seq, F.lit(False))
+    """Map of each tainted name to the position at which it first became tainted."""
+    first = F.filter(facts, lambda x: F.coalesce(x["taints"], F.lit(False)))
+    return F.map_from_entries(F.transform(first, lambda x: F.struct(x["name"], x["seq"])))
 
 
 def _target(c: Column) -> Column:
@@ -51,28 +25,20 @@ def _target(c: Column) -> Column:
     return F.concat_ws(".", c["mod"], c["fn"])
 
 
-def _read_facts(facts: Column, calls: Column) -> Column:
-    """Facts about names that a call or a copy reads; a file of many parameters has few of those."""
-    copies = F.transform(F.filter(facts, lambda x: x["kind"] == "copy"), lambda x: x["src"])
-    names = F.array_distinct(F.array_compact(F.concat(F.flatten(F.transform(calls, lambda c: c["args"])), copies)))
-    return bind(names, lambda n: F.filter(facts, lambda x: (x["kind"] != "call") & F.array_contains(n, x["name"])))
-
-
 def resolved_calls(facts: Column) -> Column:
     """Calls with what the rules ask for: target, taint of the arguments, literal host."""
 
-    def one(c: Column, times: Column) -> Column:
+    def one(c: Column) -> Column:
         return F.struct(
             c["fn"].alias("fn"), c["attr"].alias("attr"), c["seq"].alias("seq"), c["shell"].alias("shell"),
             # An attribute of something that is not a plain name has no module.
             F.when(~c["attr"] | c["mod"].isNotNull(), _target(c)).alias("target"),
-            _tainted(times, F.get(c["args"], F.lit(0)), c["seq"]).alias("first"),
-            F.exists(c["args"], lambda a: _tainted(times, a, c["seq"])).alias("any"),
+            F.get(c["since"], F.lit(0)).isNotNull().alias("first"),
+            F.exists(c["since"], lambda t: t.isNotNull()).alias("any"),
             hosts.url_host(c["lit"]).alias("host"),
         )
 
-    calls = F.filter(facts, lambda x: x["kind"] == "call")
-    return bind(taint_times(_read_facts(facts, calls)), lambda t: F.transform(calls, lambda c: one(c, t)))
+    return F.transform(F.filter(facts, lambda x: x["kind"] == "call"), one)
 
 
 def call_rules(calls: Column, policy: Policy) -> Column:

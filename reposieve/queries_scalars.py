@@ -18,10 +18,22 @@ def scf2(spark, sf):
     return corpus.table(spark, sf, "documents").select("doc_id", F.round(text.shannon_entropy(t), 6).alias("bits"))
 
 
-@query("scf3_char_classes", f"SELECT doc_id, CAST({o.CLASSES.replace('tok', 'text')} AS BIGINT) AS classes FROM documents")
+def _classes(text: str) -> str:
+    """Letters of any script are told by their other case."""
+    some = lambda test: f"CAST(len(list_filter(string_split({text}, ''), lambda c: {test})) > 0 AS BIGINT)"
+    other = f"CAST(regexp_matches({text}, '[+/=_-]') AS BIGINT)"
+    return " + ".join([some("lower(c) <> c"), some("upper(c) <> c"), some("regexp_matches(c, '[0-9]')"), other])
+
+
+@query("scf3_char_classes", f"""
+SELECT doc_id, {_classes('text')} AS classes, {_classes('rest')} AS rest_classes
+FROM (SELECT *, regexp_replace(text, '[A-Za-z]', '', 'g') AS rest FROM documents)""")
 def scf3(spark, sf):
+    """Classes of each text, and of what is left of it without the letters of ASCII."""
     d = corpus.table(spark, sf, "documents")
-    return d.select("doc_id", text.char_classes(F.col("text")).cast("bigint").alias("classes"))
+    rest = F.regexp_replace("text", "[A-Za-z]", "")
+    return d.select("doc_id", text.char_classes(F.col("text")).cast("bigint").alias("classes"),
+                    text.char_classes(rest).cast("bigint").alias("rest_classes"))
 
 
 @query("scf4_mask", """

@@ -239,6 +239,18 @@ def test_many_parameters_take_linear_time(make_files):
     assert len(found) == 1 and time.time() - t0 < 20
 
 
+def test_chains_of_copies_take_linear_time(make_files):
+    import time
+
+    chain = "\n".join(f"  n{i + 1} = n{i}" for i in range(24000))
+    files = [("a.py", f"def f(n0):\n{chain}\n  eval(n24000)\n  open(other)\n  open(n24000)\n"), ("b.py", "def g(p):\n  x = x = p\n  open(x)")]
+    t0 = time.time()
+    found = hits(make_files, *files, enabled=("taint_risk",))
+    assert [(r["path"], r["rule_id"]) for r in found] == [
+        ("a.py", "py_eval"), ("a.py", "py_file_op_tainted"), ("b.py", "py_file_op_tainted")]
+    assert time.time() - t0 < 5
+
+
 def test_char_classes_of_any_script(spark):
     from pyspark.sql import functions as F
 
