@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -14,6 +15,7 @@ from reposieve.catalog import query
 from reposieve.functions import globs, paths, text
 from reposieve.operators import select
 from reposieve.plans.scan import ScanConfig, repo_stats, selected_files
+from reposieve.session import shared_folder
 from reposieve.sources import documents, files as file_sources
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -21,32 +23,43 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 KEY = ["owner", "name", "path"]
 
 
-def _zip_batches(batches):
-    """Pack each Arrow batch of files into one zip archive (helper to build test input)."""
-    import io
-    import zipfile
+def _zipped(folder: str):
+    """Write each batch of files as a zip archive, and one that is cut off (helper to build test input)."""
+    def run(batches):
+        import io
+        import uuid
+        import zipfile
 
-    import pyarrow as pa
+        import pyarrow as pa
+        from pyarrow import fs
 
-    for n, batch in enumerate(batches):
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
-            zf.writestr("root/empty/", b"")
-            for path, content in zip(batch.column("path"), batch.column("content")):
-                zf.writestr(f"root/{path.as_py()}", content.as_py().encode("utf-8"))
-        yield pa.RecordBatch.from_pylist(
-            [{"archive": f"{n}.zip", "body": out.getvalue()}, {"archive": f"broken{n}.zip", "body": b"PK"}],
-            pa.schema([("archive", pa.string()), ("body", pa.binary())]),
-        )
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        for batch in batches:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+                zf.writestr("root/empty/", b"")
+                for member, content in zip(batch.column("path"), batch.column("content")):
+                    zf.writestr(f"root/{member.as_py()}", content.as_py().encode("utf-8"))
+            name = uuid.uuid4().hex
+            for kind, body in (("whole", out.getvalue()), ("cut", out.getvalue()[:-9])):
+                with store.open_output_stream(f"{path}/{kind}__{name}.zip") as f:
+                    f.write(body)
+            yield pa.RecordBatch.from_pylist([{"archive": name}], pa.schema([("archive", pa.string())]))
+
+    return run
 
 
 @query("src1_read_archives", o.with_(o.FILES) + """
 SELECT concat(owner, '/', name, '/', path) AS path, length AS n, md5(content) AS body FROM files""")
 def src1(spark, sf):
-    """Zip the corpus, unzip it again; broken archives become error rows."""
+    """Zip the corpus into the shared folder and read the archives; those cut off become error rows."""
     files = corpus.files(spark, sf).select(F.concat_ws("/", *KEY).alias("path"), "content")
-    archives = files.mapInArrow(_zip_batches, "archive string, body binary")
-    rows = file_sources.unpack_archives(archives).filter(F.col("error").isNull())
+    folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex[:12]}"
+    folder = folder if ":" in folder else f"file://{folder}"
+    made = files.mapInArrow(_zipped(folder), "archive string")
+    made.write.format("noop").mode("overwrite").save()
+    rows, _ = file_sources.read_archives(spark, folder, None)
     return rows.select("path", F.col("length").alias("n"), F.md5(F.col("content").cast("binary")).alias("body"))
 
 

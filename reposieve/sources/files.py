@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import bz2
 import io
+import re
+import struct
 import sys
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -18,6 +24,8 @@ from reposieve.operators.select import path_selected
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Opens a URI as a seekable binary file, in a task.
+Opener = Callable[[str], BinaryIO]
 ARCHIVE_FILE = "archive string, path string, length bigint, content string, error string"
 _ARROW = pa.schema([
     ("archive", pa.string()), ("path", pa.string()), ("length", pa.int64()),
@@ -88,22 +96,118 @@ def unpack_archives(archives: DataFrame, max_bytes: int | None = fixed.MAX_BYTES
     return archives.select("archive", "body").mapInArrow(_unzip(max_bytes), ARCHIVE_FILE)
 
 
+#: Compressed bytes of one archive that one task fetches.
+RANGE = 64 << 20
+_MEMBER = "archive string, path string, length long, start long, packed long, method int, crc long, error string"
+_LOCAL = "<4s22xHH"  # local header: signature, lengths of name and extra field
+
+
+def open_uri(uri: str):
+    """A seekable file of any store that pyarrow knows; others need an opener of their own."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", quote(uri, safe="/:@+,=~&;!$'()")))
+    return store.open_input_file(path)
+
+
+def _directories(open_file: Opener):
+    """Members of archives from their central directories; no body is read."""
+    names = [f.split()[0] for f in _MEMBER.split(", ")]
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive in batch.column(0).to_pylist():
+                rows = []
+                try:
+                    with open_file(archive) as f, zipfile.ZipFile(f) as zf:
+                        for info in zf.infolist():
+                            path = info.filename.split("/", 1)[-1]
+                            if not info.is_dir() and path:
+                                locked = "encrypted" if info.flag_bits & 1 else None
+                                rows.append((archive, path, info.file_size, info.header_offset, info.compress_size,
+                                             info.compress_type, info.CRC, locked))
+                except Exception as e:
+                    rows = [(archive, *[None] * 6, f"{type(e).__name__}: {e}")]
+                for k in range(0, len(rows), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k:k + 10_000]), kinds)], names=names)
+
+    return run
+
+
+def _unpacked(packed: bytes, method: int, size: int, crc: int) -> bytes:
+    if method == zipfile.ZIP_STORED:
+        raw = packed
+    elif method == zipfile.ZIP_DEFLATED:
+        raw = zlib.decompressobj(-15).decompress(packed, size + 1)  # never more than one byte beyond what is announced
+    elif method == zipfile.ZIP_BZIP2:
+        raw = bz2.BZ2Decompressor().decompress(packed, size + 1)
+    else:
+        raise NotImplementedError(f"compression method {method}")
+    if len(raw) != size or zlib.crc32(raw) != crc:
+        raise zipfile.BadZipFile("size or checksum does not fit")
+    return raw
+
+
+def _fetched(open_file: Opener):
+    """Bodies of members by ranged reads; a damaged member has an error and costs no other one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, file, rows, held = None, None, [], 0
+        for batch in batches:
+            for m in batch.to_pylist():
+                row = {"archive": m["archive"], "path": m["path"], "length": m["length"], "error": m["error"]}
+                try:
+                    if m["start"] is not None and m["error"] is None:
+                        if m["archive"] != name:
+                            if file:
+                                file.close()
+                            name, file = m["archive"], open_file(m["archive"])
+                        file.seek(m["start"])
+                        signature, *lengths = struct.unpack(_LOCAL, file.read(struct.calcsize(_LOCAL)))
+                        if signature != b"PK\x03\x04":
+                            raise zipfile.BadZipFile("no member where the directory has one")
+                        file.seek(m["start"] + struct.calcsize(_LOCAL) + sum(lengths))
+                        raw = _unpacked(file.read(m["packed"]), m["method"], m["length"], m["crc"])
+                        row["content"] = raw.decode("utf-8", "ignore")
+                        held += len(raw)
+                except Exception as e:
+                    row["error"] = f"{type(e).__name__}: {e}"
+                rows.append(row)
+                if held >= _BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                    rows, held = [], 0
+        if file:
+            file.close()
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+
+    return run
+
+
 def read_archives(
-    spark: SparkSession, glob: str, max_bytes: int | None = fixed.MAX_BYTES, rebalance: bool = False
+    spark: SparkSession, glob: str, max_bytes: int | None = fixed.MAX_BYTES,
+    wanted: Callable[[Column], Column] | None = None, open_file: Opener = open_uri,
 ) -> tuple[DataFrame, DataFrame]:
-    """``files`` and ``errors(owner, name, message)`` of zip archives.
+    """``files`` and ``errors(owner, name, message)`` of zip archives of any size.
 
-    One archive is one input row; its files leave in small batches. ``rebalance=True``
-    lets AQE even out partitions when a few archives are much larger than the rest.
+    Archives are listed without their bodies, then their central directories are read, then the members
+    ``wanted`` by path are fetched by ranges: an archive is spread over as many tasks as it has ranges of ``RANGE``
+    bytes. Other members are never read; those over ``max_bytes`` keep their length and have no content.
     """
-    archives = spark.read.format("binaryFile").load(glob).select(
-        F.col("path").alias("archive"), F.col("content").alias("body")
-    )
-    rows = unpack_archives(archives, max_bytes)
+    listed = spark.read.format("binaryFile").load(glob).select(F.col("path").alias("archive"), "length")
+    count, size = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    # A fixed number of partitions, since rows without bodies look small to the optimizer.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // RANGE))
+    found = listed.select("archive").repartition(max(1, min(count, tasks)), "archive").mapInArrow(_directories(open_file), _MEMBER)
+    chosen = found.filter(F.col("error").isNotNull() | wanted(F.col("path"))) if wanted else found
+    if max_bytes is not None:
+        chosen = chosen.withColumn("start", F.when(F.col("length") <= max_bytes, F.col("start")))
+    part = F.floor(F.col("start") / RANGE)
+    rows = chosen.repartition(tasks, "archive", part).sortWithinPartitions("archive", "start").mapInArrow(_fetched(open_file), ARCHIVE_FILE)
     owner, name = _archive_parts(F.col("archive"))
     files = rows.filter(F.col("error").isNull()).select(owner, name, "path", "length", "content")
     errors = rows.filter(F.col("error").isNotNull()).select(owner, name, F.col("error").alias("message"))
-    return (files.hint("rebalance") if rebalance else files), errors
+    return files, errors
 
 
 def select_blobs(
@@ -125,21 +229,22 @@ def read_tree(
     include: tuple[str, ...] = (),
     exclude: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Files under ``root/owner/name/...``. Size and path are tested before bodies are read."""
-    at = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/*", "/")
+    """Files under ``root/owner/name/...``.
+
+    Size and path are tested on file metadata, which prunes the listing: files that are
+    not selected are never opened.
+    """
+    # A path in metadata is a URI; a plus sign in it stands for itself.
+    at = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     base = "/" + root.split(":", 1)[-1].strip("/") + "/"
-    rel = F.substr(at, F.lit(len(base) + 1))
+    rel = F.substr(F.regexp_replace(at, r"^[a-z0-9]+:/*", "/"), F.lit(len(base) + 1))
     pieces = F.split(rel, "/", 3)
-    listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .filter(F.array_size(pieces) == 3)
-        .select(
-            *(F.get(pieces, F.lit(i)).alias(c) for i, c in enumerate(("owner", "name", "path"))),
-            F.lit("blob").alias("type"), "length", "content",
-        )
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(F.array_size(pieces) == 3)
+    owner, name, path = (F.get(pieces, F.lit(i)) for i in range(3))
+    chosen = found.filter((F.col("_metadata.file_size") <= max_bytes) & path_selected(path, include, exclude))
+    return chosen.select(
+        owner.alias("owner"), name.alias("name"), path.alias("path"), "length", decode_utf8(F.col("content")).alias("content")
     )
-    chosen = select_blobs(listed, max_bytes, include, exclude)
-    return chosen.select("owner", "name", "path", "length", decode_utf8(F.col("content")).alias("content"))
 
 
 def read_ignore(spark: SparkSession, path: str) -> list[str]:
