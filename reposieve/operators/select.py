@@ -49,6 +49,20 @@ def size_ok(files: DataFrame, max_bytes: int = fixed.MAX_BYTES) -> DataFrame:
     return files.filter(F.col("length") <= max_bytes)
 
 
+def skipped_files(
+    files: DataFrame, include: Iterable[str] = (), exclude: Iterable[str] | None = None,
+    max_bytes: int = fixed.MAX_BYTES, root_aware: bool = False,
+) -> DataFrame:
+    """``(owner, name, path, length, reason)`` of the files that selection leaves out, by the first rule that does."""
+    path, include = F.col("path"), list(include)
+    reason = (
+        F.when(F.col("length").isNull() | (F.col("length") > max_bytes), "size")
+        .when(glob_match(path, configured_excludes(exclude), root_aware), "excluded")
+        .when(~path_selected(path, include, (), root_aware), "not included" if include else "extension")
+    )
+    return files.select(*REPO, "path", "length", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
 def route(
     files: DataFrame,
     include: Iterable[str] = (),

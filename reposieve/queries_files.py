@@ -14,7 +14,8 @@ from reposieve import oracle as o
 from reposieve.catalog import query
 from reposieve.functions import globs, paths, text
 from reposieve.operators import select
-from reposieve.plans.scan import ScanConfig, repo_stats, selected_files
+from reposieve.plans.scan import ScanConfig, repo_stats, scan, selected_files
+from reposieve.policy import Policy
 from reposieve.session import shared_folder
 from reposieve.sources import documents, files as file_sources
 
@@ -189,6 +190,78 @@ def flt5(spark, sf):
     return select.size_ok(corpus.files(spark, sf), 3000).select(*KEY, F.col("length").alias("n"))
 
 
+@query("flt5_skipped_files", o.with_(o.FILES) + f"""
+SELECT owner, name, path, length AS n, reason FROM (
+  SELECT *, CASE WHEN length > 4000 THEN 'size' WHEN {o.EXCLUDED} THEN 'excluded'
+                 WHEN {o.SPLITEXT} NOT IN ({o.CODE_EXTS}) THEN 'extension' END AS reason FROM files) WHERE reason IS NOT NULL""")
+def flt5_skipped(spark, sf):
+    """What selection leaves out, and why."""
+    return select.skipped_files(corpus.files(spark, sf), max_bytes=4000).select(*KEY, F.col("length").alias("n"), "reason")
+
+
+def landed(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query("src2_read_tree", o.with_(o.FILES) + f"""
+SELECT owner, name, path, length AS n, md5(content) AS body FROM files WHERE {o.SPLITEXT} IN ({o.CODE_EXTS})
+AND length <= 4000 AND NOT path GLOB '*/api*'""")
+def src2_read_tree(spark, sf):
+    """The corpus as a tree of files in the shared folder; only selected ones are opened."""
+    root = landed(spark, "tree")
+    root = root if ":" in root else f"file://{root}"
+    corpus.files(spark, sf).select(*KEY, "content").mapInArrow(_planted(root), "path string").write.format("noop").mode("overwrite").save()
+    found = file_sources.read_tree(spark, root, 4000, exclude=("*/api*",))
+    return found.select(*KEY, F.col("length").alias("n"), F.md5(F.col("content").cast("binary")).alias("body"))
+
+
+def _planted(root: str):
+    """Write files as a tree (helper to build test input)."""
+    def run(batches):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for owner, name, path, content in zip(*(c.to_pylist() for c in batch.columns)):
+                at = f"{base}/{owner}/{name}/{path}"
+                store.create_dir(at.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(at) as f:
+                    f.write(content.encode())
+            yield batch.select(["path"])
+
+    return run
+
+
+@query("src6_ignore_file", o.with_(o.FILES) + """
+SELECT owner, name, path FROM files WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT split_part(path, '/', 1) AS top
+  FROM files WHERE path LIKE '%/%/%') t WHERE path GLOB concat(t.top, '/*'))""")
+def src6(spark, sf):
+    """An ignore file with the top folders that hold folders, written with blanks and comments, and its selection."""
+    files, path = corpus.files(spark, sf), landed(spark, "ignore")
+    tops = files.filter(F.size(F.split("path", "/")) > 2).select(F.substring_index("path", "/", 1).alias("top")).distinct()
+    lines = F.explode(F.array(F.concat(F.lit("  "), "top", F.lit("/* ")), F.lit(""), F.concat(F.lit("# "), "top"), F.lit("\t")))
+    tops.select(lines.alias("value")).write.text(path)
+    globs_read = file_sources.read_ignore(spark, path)
+    return files.filter(~globs.glob_match(F.col("path"), globs_read)).select(*KEY)
+
+
+@query("src7_policy", o.with_(o.FILES) + f"""
+SELECT rule_id, count(*) AS n FROM (
+  SELECT unnest(['py_http_off_allowlist', 'py_http_off_allowlist']) AS rule_id FROM files WHERE k = 11 AND {o.SPLITEXT} IN ({o.CODE_EXTS})
+  UNION ALL SELECT 'gha_uses_not_sha' FROM (SELECT unnest([1, 2]) FROM files WHERE k = 13)) GROUP BY ALL""")
+def src7(spark, sf):
+    """A policy document with the domains of all repositories' hosts, read back and applied."""
+    path = landed(spark, "policy")
+    hosts = corpus.repos(spark, sf).select(F.concat(F.lit("api."), F.regexp_extract("html_url", "//([^/]+)", 1)).alias("host")).distinct()
+    doc = hosts.agg(F.to_json(F.struct(
+        F.struct(F.lit(False).alias("block_private"), F.array_sort(F.collect_set("host")).alias("allowed_domains")).alias("network"),
+        F.struct(F.lit(True).alias("require_sha_pin")).alias("ci"))).alias("value"))
+    doc.write.text(path)
+    found = scan(corpus.files(spark, sf), ScanConfig(exclude=(), policy=Policy.read(spark, path)))
+    rules = ("py_http_private_target", "py_http_off_allowlist", "gha_uses_not_sha")
+    return found.filter(F.col("rule_id").isin(*rules)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 _JUNK = """junk AS (SELECT doc_id, CASE doc_id % 6
     WHEN 0 THEN concat(text, chr(0)) WHEN 1 THEN concat(text, repeat(chr(1), CAST(length(text) AS INT)))
     WHEN 2 THEN concat(text, repeat(chr(1), CAST(length(text) // 4 AS INT))) WHEN 3 THEN ''

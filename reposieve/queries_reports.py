@@ -470,3 +470,45 @@ def src5_read_documents(spark, sf):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return out
+
+
+def _written(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query("snk1_written_log", o.REPORTS + "SELECT owner, name, files_scanned, findings, classification FROM summary")
+def snk1_written(spark, sf):
+    """The log as a job leaves it that fails after a batch and writes it again: two batches, one of them twice."""
+    log, rep = _written(spark, "log"), reliable(reports(spark, sf))
+    half = F.pmod(F.xxhash64("repo.name"), F.lit(2)) == 0
+    sinks.write_report_log(rep.filter(half), log, "2025-01-01/0")
+    for _ in range(2):
+        sinks.write_report_log(rep.filter(~half), log, "2025-01-01/1")
+    return docs.read_reports(spark, log).select(
+        "repo.owner", "repo.name", "stats.files_scanned", F.array_size("findings").cast(LONG).alias("findings"), "classification")
+
+
+@query("snk2_written_reports", o.REPORTS + "SELECT owner, owner AS folder, name, files_scanned, classification FROM summary")
+def snk2_written(spark, sf):
+    """Report documents by owner, from the folders they were written to."""
+    path = _written(spark, "reports")
+    sinks.write_reports(reports(spark, sf), path)
+    rows = spark.read.text(path)
+    get = lambda p: F.get_json_object("value", p)
+    return rows.select(get("$.repo.owner").alias("owner"), F.col("owner").alias("folder"), get("$.repo.name").alias("name"),
+                       get("$.stats.files_scanned").cast(LONG).alias("files_scanned"), get("$.classification").alias("classification"))
+
+
+@query("snk3_written_run", o.REPORTS + """
+SELECT 'run' AS section, 'q' AS repo, count(*) AS n FROM summary
+UNION ALL SELECT 'results', concat(owner, '/', name), files_scanned FROM summary""")
+def snk3_written(spark, sf):
+    """A run that is written twice, header and results read back."""
+    path, rep, repos = _written(spark, "run"), reliable(reports(spark, sf)), corpus.repos(spark, sf)
+    board = rt.leaderboard(rt.report_rows(rep), repos)
+    for _ in range(2):
+        sinks.write_run(repos, board, rep, {"query": "q"}, path)
+    head = spark.read.json(f"{path}/run").select(F.lit("run").alias("section"), F.col("query").alias("repo"), F.col("count").cast(LONG).alias("n"))
+    results = docs.read_reports(spark, f"{path}/sections/section=results")
+    return head.unionByName(results.select(
+        F.lit("results").alias("section"), F.concat_ws("/", "repo.owner", "repo.name").alias("repo"), F.col("stats.files_scanned").cast(LONG).alias("n")))

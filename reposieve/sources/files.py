@@ -9,7 +9,7 @@ import struct
 import sys
 import zipfile
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import BinaryIO
 from urllib.parse import quote
 
@@ -26,6 +26,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Opens a URI as a seekable binary file, in a task.
 Opener = Callable[[str], BinaryIO]
+#: Lists what is below a URI, in a task.
+Lister = Callable[[str], Iterable[tuple[str, bool, int]]]
 ARCHIVE_FILE = "archive string, path string, length bigint, content string, error string"
 _ARROW = pa.schema([
     ("archive", pa.string()), ("path", pa.string()), ("length", pa.int64()),
@@ -106,10 +108,15 @@ def open_uri(uri: str):
     """A seekable file of any store that pyarrow knows; others need an opener of their own."""
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", quote(uri, safe="/:@+,=~&;!$'()")))
+    store, path = fs.FileSystem.from_uri(_encoded(uri))
     return store.open_input_file(path)
 
 
+def _encoded(uri: str) -> str:
+    uri = uri if ":" in uri.split("/", 1)[0] else f"file://{uri}"
+    return re.sub(r"^file:/+", "file:///", quote(uri, safe="/:@+,=~&;!$'()"))
+
+
 def _directories(open_file: Opener):
     """Members of archives from their central directories; no body is read."""
     names = [f.split()[0] for f in _MEMBER.split(", ")]
@@ -222,29 +229,74 @@ def select_blobs(
     ).filter(path_selected(F.col("path"), include, exclude))
 
 
+def list_uri(uri: str) -> Iterator[tuple[str, bool, int]]:
+    """``(path below, is a file, bytes)`` of everything in a folder of any store that pyarrow knows."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(_encoded(uri))
+    for info in store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True)):
+        yield info.path[len(base.rstrip("/")) + 1:], info.is_file, info.size
+
+
+def _listed(list_files: Lister):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for owner, uri in zip(*(c.to_pylist() for c in batch.columns)):
+                rows = [(owner, *path.split("/", 1), size, f"{uri}/{path}")
+                        for path, is_file, size in list_files(uri) if is_file and "/" in path]
+                for k in range(0, len(rows), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k:k + 10_000])], names=["owner", "name", "path", "length", "uri"])
+
+    return run
+
+
+def _opened(open_file: Opener):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out():
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, names=["owner", "name", "path", "length", "content"])
+
+        rows, held = [], 0
+        for batch in batches:
+            for *key, uri in zip(*(c.to_pylist() for c in batch.columns)):
+                with open_file(uri) as f:
+                    body = f.read()
+                rows.append((*key, len(body), body))
+                held += len(body)
+                if held >= _BATCH_BYTES:
+                    yield out()
+                    rows, held = [], 0
+        if rows:
+            yield out()
+
+    return run
+
+
 def read_tree(
     spark: SparkSession,
     root: str,
     max_bytes: int = fixed.MAX_BYTES,
     include: tuple[str, ...] = (),
     exclude: tuple[str, ...] = (),
+    list_files: Lister = list_uri,
+    open_file: Opener = open_uri,
 ) -> DataFrame:
-    """Files under ``root/owner/name/...``.
+    """Files under ``root/owner/name/...``, hidden ones and those with leading underscores too.
 
-    Size and path are tested on file metadata, which prunes the listing: files that are
-    not selected are never opened.
+    Tasks list the folders of owners; size and path are tested on the listing, and only what is
+    selected is opened, spread over all tasks.
     """
-    # A path in metadata is a URI; a plus sign in it stands for itself.
-    at = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    base = "/" + root.split(":", 1)[-1].strip("/") + "/"
-    rel = F.substr(F.regexp_replace(at, r"^[a-z0-9]+:/*", "/"), F.lit(len(base) + 1))
-    pieces = F.split(rel, "/", 3)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(F.array_size(pieces) == 3)
-    owner, name, path = (F.get(pieces, F.lit(i)) for i in range(3))
-    chosen = found.filter((F.col("_metadata.file_size") <= max_bytes) & path_selected(path, include, exclude))
-    return chosen.select(
-        owner.alias("owner"), name.alias("name"), path.alias("path"), "length", decode_utf8(F.col("content")).alias("content")
-    )
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    owners = [s.getPath() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path) if s.isDirectory()]
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    folders = spark.createDataFrame([(p.getName(), p.toString()) for p in owners], "owner string, uri string")
+    listing = folders.repartition(min(n, max(1, len(owners))), "owner").mapInArrow(
+        _listed(list_files), "owner string, name string, path string, length long, uri string")
+    chosen = select_blobs(listing.withColumn("type", F.lit("blob")), max_bytes, include, exclude)
+    # A number of partitions is given, since a listing looks too small to be spread.
+    bodies = chosen.select("owner", "name", "path", "uri").repartition(n, "owner", "name", "path").mapInArrow(
+        _opened(open_file), "owner string, name string, path string, length long, content binary")
+    return bodies.withColumn("content", decode_utf8(F.col("content")))
 
 
 def read_ignore(spark: SparkSession, path: str) -> list[str]:

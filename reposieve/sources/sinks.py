@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +37,14 @@ def report_json(reports: DataFrame) -> DataFrame:
     return reports.select(F.col("repo.owner").alias("owner"), pruned_json(reports, *reports.columns).alias("value"))
 
 
-def write_report_log(reports: DataFrame, path: str) -> None:
-    """Append reports to a log of JSON lines."""
-    report_json(reports).select("value").write.mode("append").text(path)
+def write_report_log(reports: DataFrame, path: str, batch: str | None = None) -> None:
+    """Add a batch of reports to a log of JSON lines.
+
+    A batch has a folder of its own, so one that is written again after a failure takes the place of
+    what was there. Without a name it is a new one.
+    """
+    name = quote(batch or uuid.uuid4().hex, safe="")
+    report_json(reports).select("value").write.mode("overwrite").text(f"{path}/batch={name}")
 
 
 def write_reports(reports: DataFrame, path: str) -> None:

@@ -62,18 +62,22 @@ def test_no_archives(spark, tmp_path):
 
 
 def test_files_of_a_tree_that_are_not_selected_are_not_opened(spark, tmp_path):
-    tree = {"o/r/src/a+b%20c.py": "x = 1", "o/r/src/long.py": "y" * 80, "o/r/docs/é f.py": "z", "o/stray.py": "y" * 80}
+    tree = {"o/r/src/a+b%20c.py": "x = 1", "o/r/src/long.py": "y" * 80, "o/r/docs/é f.py": "z", "o/stray.py": "y" * 80,
+            "o/r/src/__init__.py": "", "o/r/.github/workflows/ci.yml": "on: push", "p/q/_x.py": "p"}
     for p, b in tree.items():
-        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / p).write_text(b)
-    key = "spark.sql.sources.binaryFile.maxLength"
-    old = spark.conf.get(key)
-    spark.conf.set(key, "50")  # opening a longer file is an error
-    try:
-        files = fs.read_tree(spark, str(tmp_path), exclude=("**/long.py",))
-        assert sorted((r["path"], r["content"]) for r in files.collect()) == [("docs/é f.py", "z"), ("src/a+b%20c.py", "x = 1")]
-        assert [r["path"] for r in fs.read_tree(spark, str(tmp_path), max_bytes=3).collect()] == ["docs/é f.py"]
-        with pytest.raises(Exception, match="(?i)length"):
-            fs.read_tree(spark, str(tmp_path)).collect()
-    finally:
-        spark.conf.set(key, old)
+        (tmp_path / "t" / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / p).write_text(b)
+    log = str(tmp_path / "opened")
+
+    def counted(uri):
+        with open(log, "a") as f:
+            f.write(uri.rsplit("/", 1)[-1] + "\n")
+        return fs.open_uri(uri)
+
+    files = fs.read_tree(spark, str(tmp_path / "t"), max_bytes=50, exclude=("docs/**",), open_file=counted)
+    assert sorted((r["owner"], r["path"], r["content"]) for r in files.collect()) == [
+        ("o", ".github/workflows/ci.yml", "on: push"), ("o", "src/__init__.py", ""), ("o", "src/a+b%20c.py", "x = 1"), ("p", "_x.py", "p")]
+    with open(log) as f:
+        assert sorted(f.read().split("\n")[:-1]) == ["__init__.py", "_x.py", "a+b%20c.py", "ci.yml"]
+    (tmp_path / "none").mkdir()
+    assert fs.read_tree(spark, str(tmp_path / "none")).count() == 0
