@@ -65,12 +65,25 @@ def per_row(df: DataFrame, keep: list[str], column: str, make: Callable[[bytes |
     return df.select(*keep, column).mapInArrow(run, f"{kept}, {schema}")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has, also not in other case."""
+    taken = {c.lower() for c in df.columns}
+    made = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        made.append(name)
+    return made
+
+
 def one_of_group(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row of each group of ``groups(_id, text_hash, root)``: the smallest by id, NULL last, then by hash of the text."""
+    key, digest, times = fresh(docs, "_kept", "_hash", "_n")
     each = groups.groupBy("root", "_id", "text_hash").agg(F.count(F.lit(1)).alias("_n"))
     least = each.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "text_hash", "_n")).alias("one"))
-    kept = least.select(F.col("one._id").alias("_kept"), F.col("one.text_hash").alias("_hash"), F.col("one._n").alias("_n"))
+    kept = least.select(F.col("one._id").alias(key), F.col("one.text_hash").alias(digest), F.col("one._n").alias(times))
     kept = Workspace(docs.sparkSession, "one-of-group").land(kept, "ids")
-    rows = docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept")) & (F.xxhash64(docs[text_col]) == F.col("_hash")))
-    again = rows.filter("_n > 1").dropDuplicates(["_kept", "_hash"])
-    return rows.filter("_n = 1").unionByName(again).drop("_kept", "_hash", "_n")
+    rows = docs.join(kept, docs[id_col].eqNullSafe(F.col(key)) & (F.xxhash64(docs[text_col]) == F.col(digest)))
+    again = rows.filter(F.col(times) > 1).dropDuplicates([key, digest])
+    return rows.filter(F.col(times) == 1).unionByName(again).drop(key, digest, times)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from functools import lru_cache
 
 from pyspark.ml.classification import DecisionTreeClassifier
@@ -41,6 +42,7 @@ ARTICLE_WORDS = frozenset("articlebody entry-content post-content post-body arti
 OUTER_WORDS = frozenset("header masthead".split())
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|$)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)(>|$))""", re.S)
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?=[\s=]|$)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PART = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -68,6 +70,7 @@ def kind(tag: str, attributes: str) -> tuple[bool, bool, bool]:
 def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
     """``(text, words, link density, chrome, article, heading)`` of every block that has text."""
     found, pieces, linked, stack = [], [], 0, []
+    places = defaultdict(list)  # where in the stack a tag is open
     chrome = article = heading = in_link = 0
 
     def flush():
@@ -83,9 +86,16 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
     def close(depth):
         nonlocal chrome, article, heading
         while len(stack) > depth:
-            _, a, b, c = stack.pop()
+            tag, a, b, c = stack.pop()
+            places[tag].pop()
             chrome, article, heading = chrome - a, article - b, heading - c
 
+    def push(tag, *flags):
+        nonlocal chrome, article, heading
+        places[tag].append(len(stack))
+        stack.append((tag, *flags))
+        chrome, article, heading = chrome + flags[0], article + flags[1], heading + flags[2]
+
     def text(piece):
         nonlocal linked
         if piece:
@@ -93,7 +103,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             if in_link:
                 linked += len(piece.split())
 
-    at, lower = 0, None
+    at = 0
     while True:
         m = _TAG.search(page, at)
         if m is None:
@@ -107,9 +117,8 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
         tag = tag.lower()
         if tag in RAW and not end:
             flush() if tag not in ("button", "object") else None
-            lower = page.lower() if lower is None else lower
-            stop = lower.find(f"</{tag}", at)
-            at = len(page) if stop < 0 else stop
+            stop = _RAW_END[tag].search(page, at)
+            at = stop.start() if stop else len(page)
         elif tag == "a":
             in_link = 0 if end else 1
         elif tag in ("br", "td", "th"):
@@ -119,28 +128,23 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
                 flush()
         elif tag not in INLINE:
             flush()
-            names = [s[0] for s in stack]
             if end:
-                if tag in names:
-                    close(len(names) - 1 - names[::-1].index(tag))
+                if places[tag]:
+                    close(places[tag][-1])
                     in_link = 0
                 continue
-            if names and names[-1] == "p":
+            if stack and stack[-1][0] == "p":
                 close(len(stack) - 1)
-                names.pop()
-            if tag == "li" and "li" in names:
-                last = len(names) - 1 - names[::-1].index("li")
-                if not {"ul", "ol", "menu"} & set(names[last:]):
+            if tag == "li" and places["li"]:
+                last = places["li"][-1]
+                if not any(places[x] and places[x][-1] > last for x in ("ul", "ol", "menu")):
                     close(last)
             a, b, c = kind(tag, attributes)
-            flags = (int(a or c and not article), int(b), int(tag in HEADINGS))
-            stack.append((tag, *flags))
-            chrome, article, heading = chrome + flags[0], article + flags[1], heading + flags[2]
+            push(tag, int(a or c and not article), int(b), int(tag in HEADINGS))
         elif not end and attributes and kind(tag, attributes)[0]:
             # Inline adverts and the like are blocks of their own.
             flush()
-            stack.append((tag, 1, 0, 0))
-            chrome += 1
+            push(tag, 1, 0, 0)
         elif end and stack and stack[-1][0] == tag:
             flush()
             close(len(stack) - 1)

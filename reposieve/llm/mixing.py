@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reposieve.llm.common import Workspace
+from reposieve.llm.common import Workspace, fresh
 from reposieve.operators.ranking import number_rows
 
 EPOCHS = 3
@@ -68,14 +68,16 @@ def mix(
     work = Workspace(docs.sparkSession, "mixing")
     sized = work.land(docs.select(
         F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("size"),
-        random_key(F.col(id_col), seed).alias("_key"), *([F.col(row_col).alias("_row")] if row_col else []),
+        random_key(F.col(id_col), seed).alias("_key"), F.xxhash64(text_col).alias("_hash"),
+        F.monotonically_increasing_id().alias("_at"), *([F.col(row_col).alias("_row")] if row_col else []),
     ), "sized")
     sizes = sized.groupBy("_source").agg(F.sum("size").alias("source_size"))
     ranked = number_rows(sizes, [F.col("_source").asc_nulls_last()], "_rank")
     sources = work.land(targets(ranked, weights, epochs), "sources")
     named = sources.withColumnRenamed("_source", "_name")
     placed = sized.join(named, sized["_source"].eqNullSafe(named["_name"])).drop("_name", "_source")
-    order = ["_key", "_id", "size"]
+    # The last two spread rows that repeat an id over partitions.
+    order = ["_key", "_id", "size", "_hash", "_at"]
     placed = work.land(
         placed.repartitionByRange("_rank", *order).sortWithinPartitions("_rank", *order)
         .withColumn("_part", F.spark_partition_id()), "placed",
@@ -101,11 +103,13 @@ def mix(
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The documents that the mix takes, with the tokens taken of each as ``taken``."""
-    numbered = docs.drop("taken").withColumn("_mix_row", F.monotonically_increasing_id())
+    """The documents that the mix takes, with the tokens taken of each as ``taken``, in place of a column of that name."""
+    docs = docs.drop("taken")
+    (row,) = fresh(docs, "_mix_row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
     rows = Workspace(docs.sparkSession, "mixed").land(numbered, "rows")  # the numbers stay what they are
-    part = mix(rows, id_col, row_col="_mix_row", **how).filter("taken > 0").select("_mix_row", "taken")
-    return rows.join(part, "_mix_row").drop("_mix_row")
+    part = mix(rows, id_col, row_col=row, **how).filter("taken > 0").select(row, "taken")
+    return rows.join(part, row).drop(row)
 
 
 #: The same mix for ``documents`` in SQL.

@@ -44,7 +44,8 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = langid.fold(F.col("doc_id")) == 1
     models = langid.fit(docs, ~held_out)
     found = langid.identify(docs, models, ["doc_id"])
-    return found.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    held_out = F.coalesce(held_out, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, *(c for c in found.columns if c != "doc_id"))
 
 
 @query("op4_licenses")

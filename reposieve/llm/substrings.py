@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reposieve.llm.common import Workspace, texts
+from reposieve.llm.common import Workspace, fresh, texts
 
 LENGTH = 200
 FAN = 6
@@ -40,6 +40,7 @@ BLOCK = 1 << 20
 _RNG = np.random.default_rng(7)
 _BYTES = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 _BASES = [int(b) | 1 for b in _RNG.integers(1 << 60, 1 << 63, 2, dtype=np.uint64)]
+_PLACE = np.uint64((BLOCK << 1) - 1)
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -87,10 +88,9 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
         start = np.arange(len(part) - gram + 1)
         name = Names(part, 1).of(start, start + gram)
         width = length - gram + 1
-        least = _least(name, width)
-        edge = np.zeros(width - 1, np.uint64)
-        most = ~_least(~np.concatenate([edge, least, edge]), width)  # of the windows around a gram
-        pos = np.flatnonzero(name == most)
+        # The low bits hold the place, so the least value says where it stands; of equal grams the first counts.
+        least = _least((name & ~_PLACE) | start.astype(np.uint64), width) & _PLACE
+        pos = least[np.concatenate([[True], least[1:] != least[:-1]])].astype(np.int64)
         found.append((pos + at, name[pos]))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -223,7 +223,7 @@ class Repeats:
             (F.col("sha") == F.col("_sha")) & F.col("_id").eqNullSafe(F.col("_least")),
         ).select("unit", "sha", "_id", "_text").groupBy("unit", "sha").agg(F.first("_text").alias("_text"))
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        picked.repartition(n, "unit").write.bucketBy(n, "unit").format("parquet").saveAsTable(self.table)
+        picked.repartition(n, "unit").write.bucketBy(n, "unit").format("parquet").option("path", f"{work.base}/held").saveAsTable(self.table)
         held = self.spark.table(self.table)
         spans, ranges, k = None, {(0, length - length // 4)}, 0
         while True:
@@ -234,10 +234,11 @@ class Repeats:
             )
             work.drop(f"nodes{k}")
             strings = work.land(
-                named.groupBy("lo", "core", "o1", "o2").agg(
-                    F.sum("w").alias("w"), F.min(F.struct("unit", "p", "hi")).alias("one")), f"strings{k}",
+                # Any of the equal strings stands for all; columns of their own keep the aggregate a hashed one.
+                named.groupBy("lo", "core", "o1", "o2").agg(F.sum("w").alias("w"), *(F.first(c).alias(c) for c in ("unit", "p", "hi"))),
+                f"strings{k}",
             )
-            single = strings.filter("w = 1").select("one.unit", "one.p", "lo")
+            single = strings.filter("w = 1").select("unit", "p", "lo")
             again = named.join(single, ["unit", "p", "lo"], "left_anti")
             part = work.land(again.select(
                 "unit", (F.col("p") - F.col("hi")).alias("a"), (F.col("p") - F.col("lo") + length).alias("b")), f"spans{k}")
@@ -255,7 +256,7 @@ class Repeats:
             nodes = work.land(
                 strings.join(mixed, ["lo", "core"], "left_semi")
                 .join(F.broadcast(table), "lo")  # at most ``length`` rows
-                .select("one.unit", "one.p", "w", F.explode("finer").alias("r"))
+                .select("unit", "p", "w", F.explode("finer").alias("r"))
                 .select("unit", "p", "r.lo", "r.hi", "w"), f"nodes{k + 1}",
             )
             work.drop(f"strings{k}", f"mixed{k}")
@@ -289,10 +290,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A character of which a byte is cut goes whole.
     """
     found = Repeats(docs, id_col, text_col, length)
-    cut = found.cut.select(F.col("sha").alias("_sha"), F.col("edges").alias("_edges")).join(
-        found.copies.withColumnRenamed("sha", "_sha"), "_sha", "left_anti"
+    own, other, spans = fresh(docs, "_sha", "_cut_sha", "_edges")
+    cut = found.cut.select(F.col("sha").alias(other), F.col("edges").alias(spans)).join(
+        found.copies.withColumnRenamed("sha", other), other, "left_anti"
     )
-    cut = cut.unionByName(found.copies.select(F.col("sha").alias("_sha"), F.array(F.lit(0).cast("long"), F.lit(-1).cast("long")).alias("_edges")))
+    whole = F.array(F.lit(0).cast("long"), F.lit(-1).cast("long"))
+    cut = cut.unionByName(found.copies.select(F.col("sha").alias(other), whole.alias(spans)))
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,5 +311,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield whole.filter(pa.array([not gone for _, gone in out], pa.bool_()))
 
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    joined = docs.withColumn("_of", sha).join(cut, F.col("_of") == F.col("_sha"), "left").select(*names, "_edges")
+    joined = docs.withColumn(own, sha).join(cut, F.col(own) == F.col(other), "left").select(*names, spans)
     return joined.mapInArrow(run, docs.schema)

@@ -4,7 +4,10 @@ import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns with names that operators use inside.
-EXTRA = ["fp", "size", "taken", "_id", "unit", "component_id", "toxic", "severity"]
+EXTRA = [
+    "fp", "size", "taken", "_id", "unit", "component_id", "toxic", "severity", "_n", "_hash", "_kept", "_sha", "_cut_sha", "_edges", "_of", "_mix_row",
+    "_text", "text_hash", "root", "_key", "_rank", "_part", "_source", "_at", "_row", "_before", "hits", "item_id", "edits", "n", "form", "runs", "secrets", "spans",
+]
 
 
 def prose(seed: int, words: int, alphabet: str = "abcdefghijklmnop") -> str:

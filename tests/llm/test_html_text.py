@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 import pytest
@@ -43,6 +44,19 @@ def test_long_and_deep_pages(tree):
     assert main(page, tree).count("\n") == 2999
 
 
+@pytest.mark.parametrize("tag", html_text.RAW)
+def test_letters_that_lower_to_two_do_not_move_the_end(tree, tag):
+    page = "İ" * 60 + f"<{tag}>x</{tag.upper()}><article><p>{TEXT}</p><{tag}>İİİ y</{tag}><p>{TEXT} Two.</p></article>"
+    assert main(page, tree).split("\n")[-2:] == [TEXT, f"{TEXT} Two."]
+
+
+def test_open_tags_take_linear_time(tree):
+    for page in ("<div>" * 200_000, "<li>" * 200_000, "<ul><li>" * 100_000, "<div><li>" * 100_000 + "</ul>" * 100_000):
+        start = time.time()
+        assert main(f"{page}<article><p>{TEXT}</p></article>", tree).endswith(TEXT)
+        assert time.time() - start < 2
+
+
 def test_whole_given_table(spark):
     sf = "/root/testdata/sf0.01"
     found = queries.QUERIES["op1_html"](spark, sf)
