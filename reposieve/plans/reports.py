@@ -12,6 +12,7 @@ from reposieve.functions import names
 from reposieve.operators.ranking import number_rows
 from reposieve.operators.repos import with_stars
 from reposieve.operators.select import REPO
+from reposieve.sources.documents import FINDING_KEYS
 
 FINDING = ("path", "scanner", "rule_id", "severity", "reason", "evidence")
 # A report document holds at most about this many findings; more go to further parts.
@@ -212,6 +213,72 @@ def validate_reports(reports: DataFrame) -> DataFrame:
     return flat.filter(c("x").isNotNull()).select("session_id", "x.field", "x.problem")
 
 
+#: Values of a report, their types, and whether they have to be there. A value is looked at where its parent is an object.
+_VALUES = (
+    ("session_id", "string", True), ("started_at", "date-time", True), ("finished_at", "date-time", True),
+    ("repo", "object", True), ("repo.owner", "string", True), ("repo.name", "string", True), ("repo.ref", "string", True),
+    ("repo.commit", "string", True), ("stats", "object", True), ("stats.files_scanned", "integer", True),
+    ("stats.bytes_scanned", "integer", True), ("stats.scanners_used", "array", True), ("findings", "array", True),
+    ("classification", "string", True), ("summary", "string", True), ("policy_flags", "array", False),
+)
+_FINDING_VALUES = tuple((k, "string", k not in ("evidence", "code_span")) for k in FINDING_KEYS)
+
+
+def _is(value: Column, kind: str) -> Column:
+    """Whether a variant has a type of JSON."""
+    of = F.schema_of_variant(value)
+    if kind == "integer":
+        number = F.try_variant_get(value, "$", "double")
+        return of.rlike(r"\A(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (number == F.floor(number))
+    if kind == "date-time":
+        text = F.try_variant_get(value, "$", "string")
+        return (of == "STRING") & text.rlike(_DATE_TIME) & F.try_to_timestamp(text).isNotNull()
+    return of.startswith({"string": "STRING", "object": "OBJECT", "array": "ARRAY"}[kind])
+
+
+def validate_json(items: DataFrame) -> DataFrame:
+    """``(pos, session_id, field, problem)`` for every rule of the report schema that a JSON text ``(pos, item)`` breaks.
+
+    The text itself is judged, before anything is cast: a value of another type is ``not a ...``, only an absent one
+    is ``missing``. Of findings a rule is reported once, whatever number of them breaks it. Text that is no JSON
+    object gives one row.
+    """
+    rows = items.select("pos", F.try_parse_json("item").alias("v"))
+    v = F.col("v")
+
+    def bad(cond: Column, field: str, problem: str) -> Column:
+        return F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(field).alias("field"), F.lit(problem).alias("problem")))
+
+    def at(of: Column, path: str) -> Column:
+        return F.try_variant_get(of, f"$.{path}", "variant")
+
+    checks = [bad(v.isNull() | ~_is(v, "object"), "", "not an object")]
+    for path, kind, needed in _VALUES:
+        value, parent = at(v, path), at(v, path.rpartition(".")[0]) if "." in path else v
+        judged = parent.isNotNull() & _is(parent, "object")
+        if needed:
+            checks.append(bad(judged & value.isNull(), path, "missing"))
+        article = "an" if kind[0] in "aio" else "a"
+        checks.append(bad(judged & value.isNotNull() & ~_is(value, kind), path, f"not {article} {kind}"))
+    for path in ("stats.scanners_used", "policy_flags"):
+        listed = F.try_variant_get(v, f"$.{path}", "array<variant>")
+        checks.append(bad(F.exists(listed, lambda x: x.isNull() | ~_is(x, "string")), path, "item not a string"))
+    name = at(v, "classification")
+    checks.append(bad(_is(name, "string") & ~F.try_variant_get(name, "$", "string").isin(*fixed.CLASSES), "classification", "not allowed"))
+    found = F.try_variant_get(v, "$.findings", "array<variant>")
+    some = lambda test: F.exists(found, lambda x: F.coalesce(test(x), F.lit(False)))
+    checks.append(bad(some(lambda x: x.isNull() | ~_is(x, "object")), "findings", "item not an object"))
+    for key, kind, needed in _FINDING_VALUES:
+        if needed:
+            checks.append(bad(some(lambda x, key=key: _is(x, "object") & at(x, key).isNull()), f"findings.{key}", "missing"))
+        checks.append(bad(some(lambda x, key=key, kind=kind: at(x, key).isNotNull() & ~_is(at(x, key), kind)), f"findings.{key}", f"not a {kind}"))
+    severity = lambda x: F.try_variant_get(x, "$.severity", "string")
+    checks.append(bad(some(lambda x: _is(at(x, "severity"), "string") & ~severity(x).isin(*fixed.SEVERITIES)), "findings.severity", "not allowed"))
+    session = F.when(_is(at(v, "session_id"), "string"), F.try_variant_get(v, "$.session_id", "string")).alias("session_id")
+    flat = rows.select("pos", session, F.array_compact(F.array(*checks)).alias("u")).select("pos", "session_id", F.explode_outer("u").alias("x"))
+    return flat.filter(F.col("x").isNotNull()).select("pos", "session_id", "x.field", "x.problem")
+
+
 def all_of(reports: list[DataFrame]) -> DataFrame:
     """Union of reports from several inputs; missing columns become NULL."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), reports)

@@ -402,6 +402,4 @@ def st3(spark, sf):
     src, work = _landed(spark, sf)
     hits = scan(incremental.stream_files(spark, src))
     incremental.rollup_stream(hits, f"{work}/rollup", f"{work}/ck").awaitTermination()
-    newest = spark.read.parquet(f"{work}/rollup")
-    last = newest.agg(F.max("version")).scalar()
-    return newest.filter(F.col("version") == last).select("owner", "name", "findings", "severe")
+    return incremental.read_rollup(spark, f"{work}/rollup")

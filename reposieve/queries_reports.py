@@ -367,6 +367,32 @@ def val1(spark, sf):
     return rt.validate_reports(r)
 
 
+@query("val1_validate_json", """
+SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS session_id, field, problem FROM (SELECT doc_id, unnest([
+   CASE WHEN doc_id % 3 = 0 THEN {'field': 'stats.files_scanned', 'problem': 'not an integer'} END,
+   CASE WHEN doc_id % 5 = 0 THEN {'field': 'summary', 'problem': 'missing'} END,
+   CASE WHEN doc_id % 5 = 1 THEN {'field': 'summary', 'problem': 'not a string'} END,
+   CASE WHEN doc_id % 7 = 0 THEN {'field': 'repo', 'problem': 'not an object'} END,
+   CASE WHEN doc_id % 11 = 0 THEN {'field': 'findings.reason', 'problem': 'not a string'} END], recursive := true) FROM documents)
+WHERE field IS NOT NULL""")
+def val1_json(spark, sf):
+    """Reports with values of wrong types, as text."""
+    i = F.col("doc_id")
+    quoted = lambda c: F.to_json(F.struct(c.alias("x"))).substr(F.lit(6), F.lit(1 << 30))
+    text = lambda c: F.regexp_replace(quoted(c), r"\}\z", "")
+    repo = F.when(i % 7 == 0, F.lit('"o/n"')).otherwise(
+        F.concat(F.lit('{"owner": "o", "name": '), text(F.col("source")), F.lit(', "ref": "main", "commit": "c0ffee"}')))
+    files = F.when(i % 3 == 0, F.lit('"1"')).otherwise(F.lit("1"))
+    reason = F.when(i % 11 == 0, F.lit("[]")).otherwise(text(F.col("text")))
+    summary = F.when(i % 5 == 0, F.lit("")).when(i % 5 == 1, F.lit(', "summary": null')).otherwise(F.lit(', "summary": "x"'))
+    item = F.concat(
+        F.lit('{"session_id": "doc-'), i.cast("string"), F.lit('", "started_at": "2025-01-01T00:00:00Z", "finished_at": "2025-01-01T00:00:00Z", "repo": '),
+        repo, F.lit(', "stats": {"files_scanned": '), files, F.lit(', "bytes_scanned": 2, "scanners_used": []}, "findings": [{"path": "p", "scanner": "s", '
+        '"rule_id": "r", "severity": "low", "reason": '), reason, F.lit('}], "classification": "Safe"'), summary, F.lit("}"))
+    docs_ = corpus.table(spark, sf, "documents").select(i.alias("pos"), item.alias("item"))
+    return rt.validate_json(docs_).select("session_id", "field", "problem")
+
+
 @query("snk1_report_log", o.REPORTS + "SELECT owner, name, files_scanned, findings, classification FROM summary")
 def snk1(spark, sf):
     """Reports written as JSON lines and read back by the tolerant reader's parser."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -48,19 +50,70 @@ def rollup(findings: DataFrame) -> DataFrame:
     )
 
 
-def rollup_stream(findings: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keep per-repository counts of a findings stream as versioned Parquet folders.
+#: Batches whose changes are kept apart before they are folded into one table.
+KEEP = 16
+
+
+def rollup_writer(out: str, keep: int = KEEP) -> Callable[[DataFrame, int], None]:
+    """Writes the counts that a batch changed; every ``keep`` batches the changes are folded into a new base.
 
-    State is one small row per repository. Each batch writes its own version, so a
-    replayed batch overwrites itself and readers take the newest complete one.
+    What a base replaces goes. A batch that is replayed overwrites its own folder, or is left out if it was folded in.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/version={batch_id:010d}")
+        spark, last = batch.sparkSession, f"version={batch_id:010d}"
+        before = _versions(spark, f"{out}/base")
+        if last in before:
+            return
+        batch.write.mode("overwrite").parquet(f"{out}/changes/{last}")
+        if batch_id % keep == keep - 1:
+            read_rollup(spark, out, batch_id).write.mode("overwrite").parquet(f"{out}/base/{last}")
+            done = [f"base/{v}" for v in before] + [f"changes/{v}" for v in _versions(spark, f"{out}/changes")]
+            for folder in done:
+                if folder.rpartition("/")[2] < last:
+                    _delete(spark, f"{out}/{folder}")
+
+    return write
+
 
+def rollup_stream(findings: DataFrame, out: str, checkpoint: str, keep: int = KEEP) -> StreamingQuery:
+    """Keep per-repository counts of a findings stream; ``read_rollup`` gives the newest of each.
+
+    State is one small row per repository, and a batch writes only those it changed.
+    """
     return (
-        rollup(findings).writeStream.outputMode("complete")
+        rollup(findings).writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(write)
+        .foreachBatch(rollup_writer(out, keep))
         .start()
     )
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _versions(spark: SparkSession, folder: str) -> list[str]:
+    """Versions in a folder that were written to the end: Spark marks these."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = (s.getPath() for s in fs.listStatus(path) if s.isDirectory())
+    return sorted(p.getName() for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def read_rollup(spark: SparkSession, out: str, upto: int | None = None) -> DataFrame:
+    """The newest counts of every repository: those of the last base and the changes after it."""
+    wanted = lambda v: upto is None or v <= f"version={upto:010d}"
+    base = [v for v in _versions(spark, f"{out}/base") if wanted(v)][-1:]
+    changes = [v for v in _versions(spark, f"{out}/changes") if wanted(v) and v > (base or [""])[0]]
+    schema = "owner string, name string, findings long, severe long"
+    found = spark.createDataFrame([], f"{schema}, version string")
+    # At most one base and ``KEEP`` sets of changes.
+    for folder, versions in (("base", base), ("changes", changes)):
+        for v in versions:
+            found = found.unionByName(spark.read.schema(schema).parquet(f"{out}/{folder}/{v}").withColumn("version", F.lit(v)))
+    newest = found.groupBy(*REPO).agg(F.max_by(F.struct("findings", "severe"), "version").alias("now"))
+    return newest.select(*REPO, "now.findings", "now.severe")

@@ -198,6 +198,45 @@ def test_date_times_and_items_are_checked(spark, golden):
     assert ("stats.scanners_used", "missing item") in {(r["field"], r["problem"]) for r in rt.validate_reports(item).collect()}
 
 
+def test_raw_json_is_judged_before_it_is_cast(spark):
+    good = {"session_id": "s", "started_at": "2025-01-01T00:00:00Z", "finished_at": "2025-01-01T00:00:01Z",
+            "repo": {"owner": "o", "name": "n", "ref": "r", "commit": "c"},
+            "stats": {"files_scanned": 1, "bytes_scanned": 2.0, "scanners_used": ["a"]},
+            "findings": [{"path": "p", "scanner": "s", "rule_id": "r", "severity": "low", "reason": "x"}],
+            "classification": "Safe", "summary": "fine", "policy_flags": [], "more": 1}
+
+    def changed(path, value=None, drop=False):
+        doc = json.loads(json.dumps(good))
+        *above, key = path.split(".")
+        at = doc
+        for part in above:
+            at = at[int(part)] if part.isdigit() else at[part]
+        at.pop(key) if drop else at.__setitem__(key, value)
+        return json.dumps(doc)
+
+    cases = [
+        (json.dumps(good), []), ("[1]", [("", "not an object")]), ("{", [("", "not an object")]), (None, [("", "not an object")]),
+        (changed("stats.files_scanned", "3"), [("stats.files_scanned", "not an integer")]),
+        (changed("stats.files_scanned", 1.5), [("stats.files_scanned", "not an integer")]),
+        (changed("session_id", 7), [("session_id", "not a string")]), (changed("session_id", None), [("session_id", "not a string")]),
+        (changed("summary", drop=True), [("summary", "missing")]), (changed("repo", "o/n"), [("repo", "not an object")]),
+        (changed("repo.ref", drop=True), [("repo.ref", "missing")]), (changed("findings", {}), [("findings", "not an array")]),
+        (changed("findings", [3]), [("findings", "item not an object")]), (changed("findings.0.path", 1), [("findings.path", "not a string")]),
+        (changed("findings.0.severity", "severe"), [("findings.severity", "not allowed")]),
+        (changed("findings.0.evidence", []), [("findings.evidence", "not a string")]),
+        (changed("findings.0.reason", drop=True), [("findings.reason", "missing")]),
+        (changed("started_at", "yesterday"), [("started_at", "not a date-time")]), (changed("started_at", 5), [("started_at", "not a date-time")]),
+        (changed("classification", "Error"), [("classification", "not allowed")]),
+        (changed("stats.scanners_used", ["a", 1]), [("stats.scanners_used", "item not a string")]),
+        (changed("policy_flags", "x"), [("policy_flags", "not an array")]), (changed("policy_flags", drop=True), []),
+    ]
+    items = spark.createDataFrame(list(enumerate(t for t, _ in cases)), "pos int, item string")
+    got = {}
+    for r in rt.validate_json(items).collect():
+        got.setdefault(r["pos"], []).append((r["field"], r["problem"]))
+    assert got == {k: want for k, (_, want) in enumerate(cases) if want}
+
+
 def test_damaged_member_costs_only_itself(spark, tmp_path):
     path = tmp_path / "own__repo.zip"
     with zipfile.ZipFile(path, "w") as z:
