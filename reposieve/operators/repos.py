@@ -47,7 +47,11 @@ def search_repos(
     first = max(1, page_start)
     count = max(0, page_start + max(1, pages) - first)
     order = [F.col("stargazers_count").desc(), F.col("full_name")]
-    page = found.orderBy(*order).offset((first - 1) * size).limit(count * size)
+    if first == 1:
+        page = found.orderBy(*order).limit(count * size)
+    else:  # a deep page is taken from a distributed rank: the rows before it do not meet in one task
+        before, rank = (first - 1) * size, F.col("_rank")
+        page = number_rows(found, order, "_rank").filter((rank > before) & (rank <= before + count * size)).drop("_rank")
     owner, name = split_full_name(F.col("full_name"), F.col("owner"), F.col("name"))
     out = page.select(
         owner, name,

@@ -81,10 +81,33 @@ def repo_key() -> Column:
     )
 
 
-def _rows_of(keyed: DataFrame, array: str) -> DataFrame:
+def _tagged(keyed: DataFrame) -> DataFrame:
+    """One row for the head of each report, for each of its findings, flags and globs, told by ``tag``."""
+    kinds = {f.name: f.dataType.elementType for f in keyed.schema if f.name in ("findings", "flags")}
+    finding, flag = (kinds[k].simpleString() for k in ("findings", "flags"))
+    at = f"struct<pos:{keyed.schema['pos'].dataType.simpleString()},i:int>"
+    row = f"struct<tag:string,finding:{finding},flag:{flag},kind:string,glob:string,at:{at}>"
+
+    def one(tag: str, **values: Column) -> Column:
+        names_ = ("finding", "flag", "kind", "glob", "at")
+        return F.struct(F.lit(tag).alias("tag"), *(values.get(n, F.lit(None)).alias(n) for n in names_)).cast(row)
+
+    def listed(array: Column, make) -> Column:
+        return F.coalesce(F.transform(array, make), F.array().cast(f"array<{row}>"))
+
+    def globs_of(kind: str) -> Column:
+        def make(x: Column, i: Column) -> Column:
+            return one("glob", kind=F.lit(kind), glob=x, at=F.struct(F.col("pos").alias("pos"), i.alias("i")))
+
+        return listed(F.col(f"policy.{kind}"), make)
+
+    rows = F.concat(
+        F.array(one("head")), listed(F.col("findings"), lambda x: one("finding", finding=x)),
+        listed(F.col("flags"), lambda x: one("flag", flag=x)), globs_of("include"), globs_of("exclude"),
+    )
     # The outer form keeps the optimizer from evaluating the array twice.
-    flat = keyed.select("repo_key", F.explode_outer(array).alias("x"))
-    return flat.filter(F.col("x").isNotNull()).select("repo_key", "x.*")
+    return keyed.select("repo_key", "pos", "repo", "run", "stats", F.explode_outer(rows).alias("x")).select(
+        "repo_key", "pos", "repo", "run", "stats", "x.*")
 
 
 def merge_reports(reports: DataFrame, legacy_flags: bool = False) -> Merged:
@@ -93,36 +116,35 @@ def merge_reports(reports: DataFrame, legacy_flags: bool = False) -> Merged:
     Counts of scanned files add up, findings and flags are de-duplicated by value, later
     ``repo`` and ``run`` fields win. ``legacy_flags=True`` counts flags where no finding exists.
     """
-    keyed = documents(reports).withColumn("repo_key", repo_key())
+    rows, head = _tagged(documents(reports).withColumn("repo_key", repo_key())), F.col("tag") == "head"
+    fields = [f"repo.{c}" for c in ("full_name", "owner", "name", "html_url", "ref", "commit")]
+    fields += [f"run.{c}" for c in ("id", "session_id", "config_hash")]
+
     def latest(c: str) -> Column:
         # The newest value that is there: rows without one are ordered before all others.
-        return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c.replace(".", "_"))
+        return F.max_by(F.col(c), F.when(head & F.col(c).isNotNull(), F.col("pos"))).alias(c.replace(".", "_"))
 
-    heads = keyed.groupBy("repo_key").agg(
-        *(latest(f"repo.{c}") for c in ("full_name", "owner", "name", "html_url", "ref", "commit")),
-        *(latest(f"run.{c}") for c in ("id", "session_id", "config_hash")),
-        F.sum("stats.files_scanned").alias("_files"),
-        F.sum("stats.safe_count").alias("_safe"),
+    # One pass over the reports: everything is de-duplicated in one aggregate, of which each result is a part.
+    parts = rows.groupBy("repo_key", "tag", "finding", "flag", "kind", "glob").agg(
+        *map(latest, fields), F.sum(F.when(head, F.col("stats.files_scanned"))).alias("_files"),
+        F.sum(F.when(head, F.col("stats.safe_count"))).alias("_safe"), F.min("at").alias("first_seen"),
     )
-    findings = _rows_of(keyed, "findings").distinct()
-    flags = _rows_of(keyed, "flags").distinct()
-    glob_rows = [
-        keyed.select("repo_key", F.lit(kind).alias("kind"), "pos", F.col(f"policy.{kind}").alias("u"))
-        .select("repo_key", "kind", "pos", F.posexplode_outer("u").alias("i", "glob"))
-        for kind in ("include", "exclude")
-    ]
-    globs = (
-        glob_rows[0].unionByName(glob_rows[1]).filter(F.col("glob").isNotNull())
-        .groupBy("repo_key", "kind", "glob").agg(F.min(F.struct("pos", "i")).alias("first_seen"))
+    present = lambda c: parts.filter((F.col("tag") == c) & F.col(c).isNotNull())
+    findings = present("finding").select("repo_key", "finding.*")
+    flags = present("flag").select("repo_key", "flag.*")
+    globs = present("glob").select("repo_key", "kind", "glob", "first_seen")
+    heads = parts.groupBy("repo_key").agg(
+        *(F.max(c.replace(".", "_")).alias(c.replace(".", "_")) for c in fields),  # one row of each repository has them
+        F.max("_files").alias("_files"), F.max("_safe").alias("_safe"),
+        F.count_if((F.col("tag") == "finding") & F.col("finding").isNotNull()).alias("_findings"),
+        F.count_if((F.col("tag") == "flag") & F.col("flag").isNotNull()).alias("_flags"),
     )
-    n_findings = findings.groupBy("repo_key").agg(F.count(F.lit(1)).alias("_findings"))
-    n_flags = flags.groupBy("repo_key").agg(F.count(F.lit(1)).alias("_flags"))
     zero = F.lit(0).cast("bigint")
     found, flagged = F.coalesce("_findings", zero), F.coalesce("_flags", zero)
     either = F.when(found > 0, found).otherwise(flagged)
     told = lambda c: F.nullif(F.col(c), F.lit(""))
     full = F.coalesce(told("repo_full_name"), F.concat(told("repo_owner"), F.lit("/"), told("repo_name")))
-    repos = heads.join(n_findings, "repo_key", "left").join(n_flags, "repo_key", "left").select(
+    repos = heads.select(
         "repo_key",
         F.coalesce(full, told("repo_html_url"), F.lit("unknown")).alias("repo"),
         *(f"repo_{c}" for c in ("full_name", "owner", "name", "html_url", "ref", "commit")),

@@ -43,3 +43,27 @@ def test_stats_and_caps_do_not_move_bodies(spark, make_files, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "WindowGroupLimit" in capped and "content" not in capped
+
+
+def test_merging_reads_reports_once(spark, tmp_path):
+    from reposieve.plans.portfolio import DOCUMENT, merge_reports, portfolio_totals
+
+    path = str(tmp_path / "reports")
+    spark.createDataFrame([], DOCUMENT).write.parquet(path)
+    merged = merge_reports(spark.read.parquet(path))
+    for frame in (merged.repos, merged.findings, merged.flags, merged.globs, portfolio_totals(merged)):
+        text = plan(frame)
+        assert text.count("FileScan") == 1 and "Join" not in text
+
+
+def test_deep_pages_do_not_meet_in_one_task(spark, tmp_path):
+    from reposieve.operators.repos import search_repos
+
+    columns = "owner string, name string, full_name string, html_url string, stargazers_count int, default_branch string"
+    rows = [("o", f"r{k:05}", f"o/r{k:05}", "", k // 7, None) for k in range(3000)]
+    found = spark.createDataFrame(rows, columns).repartition(5)
+    want = [r[2] for r in sorted(rows, key=lambda r: (-r[4], r[2]))]
+    for start, pages in ((1, 2), (2, 1), (29, 3), (31, 1)):
+        deep = search_repos(found, 100, pages, start)
+        assert sorted(r["full_name"] for r in deep.collect()) == sorted(want[(start - 1) * 100:(start - 1 + pages) * 100])
+        assert start == 1 or not any(x in plan(deep) for x in ("GlobalLimit", "CollectLimit", "TakeOrdered"))
