@@ -4,6 +4,10 @@ A vector is represented by the ordered list of its nearest pivots. The lists are
 file per pivot; a query ranks what its own nearest pivots post by the footrule distance of the
 two orders, and the best share is ranked again by the true inner product in double precision.
 
+Inner products grow with length, which an order of pivots does not show. So indexed vectors and pivots get one more
+component that makes all as long as the longest, and queries get a zero there: inner products with queries stay what
+they are, and the nearest by distance are those with the largest inner product.
+
 Pivots are a sample of ``PIVOTS`` vectors; every vector is indexed. Queries meet all vectors in blocks: an index
 block holds about ``BLOCK`` vectors, and each block of queries visits each index block. Per query a block gives
 back the best ``k + 1``, so what is merged does not grow with the block.
@@ -43,11 +47,20 @@ def usable(v: Column) -> Column:
     return F.coalesce((F.size(v) > 0) & sound & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def orders(pivots: np.ndarray, n: int):
-    """Adds the numbers of the ``n`` nearest pivots, nearest first."""
+def lift(v: np.ndarray, longest: float) -> np.ndarray:
+    """The component that makes vectors as long as the longest; ``longest`` is its square."""
+    return np.sqrt(np.maximum(0.0, longest - (v * v).sum(axis=1)))
+
+
+def orders(pivots: np.ndarray, n: int, longest: float | None):
+    """Adds the numbers of the ``n`` nearest pivots, nearest first; for queries ``longest`` is None."""
+    lifted = None if longest is None else lift(pivots, longest)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = np.argsort(-(matrix(batch.column(1)) @ pivots.T), axis=1, kind="stable")[:, :n].astype(np.int16)
+            v = matrix(batch.column(1))
+            close = v @ pivots.T if lifted is None or not len(v) else v @ pivots.T + np.outer(lift(v, longest), lifted)
+            near = np.argsort(-close, axis=1, kind="stable")[:, :n].astype(np.int16)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(near.ravel()), near.shape[1]).cast(pa.list_(pa.int16()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["cls", "v", "near"])
 
@@ -115,14 +128,15 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     # The bounded sample that fits the index.
     sample = entries.orderBy(F.xxhash64("cls"), "cls").limit(PIVOTS).select("v").collect()
     pivots = np.array([r.v for r in sample])
-    n_entries = entries.count()
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    n_entries, longest = entries.agg(F.count(F.lit(1)), F.max(square)).first()
     blocks = max(1, -(-n_entries // BLOCK))
-    indexed = work.land(
-        entries.select("cls", "v").mapInArrow(orders(pivots, min(POSTED, len(pivots))), "cls long, v array<double>, near array<short>"), "indexed"
-    )
+    n_near, schema = min(POSTED, len(pivots)), "cls long, v array<double>, near array<short>"
+    indexed = work.land(entries.select("cls", "v").mapInArrow(orders(pivots, n_near, longest), schema), "indexed")
     asking = rows.filter("asks").select("id", "v").join(entries.select("cls", F.col("v").alias("u")), F.col("v") == F.col("u")).select("id", "cls")
     asking = work.land(asking, "asking")
-    asked = work.land(indexed.join(asking.select("cls").distinct(), "cls", "left_semi"), "asked")
+    asked = entries.select("cls", "v").join(asking.select("cls").distinct(), "cls", "left_semi")
+    asked = work.land(asked.mapInArrow(orders(pivots, n_near, None), schema), "asked")
     parts = max(1, -(-asking.select("cls").distinct().count() // QUERIES))
     vector_blocks = indexed.select("*", F.pmod(F.xxhash64(F.lit("block"), "cls"), F.lit(blocks)).cast("int").alias("b")).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("a"))

@@ -83,3 +83,18 @@ def test_recall(spark):
         assert mine["rank"].tolist() == sorted(mine["rank"]) and len(mine) == 20
         hits, total = hits + len(best & set(mine.vec_id)), total + 20
     assert hits / total >= 0.9
+
+
+def test_recall_on_vectors_of_mixed_length(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAST", 400)  # a fifth of the table is ranked again
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    r = np.random.default_rng(4)
+    v = (np.stack(e.embedding) * np.exp(0.5 * r.standard_normal(len(e)))[:, None]).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = ann.nearest(df, F.col("vec_id") % 20 == 0).toPandas()
+    hits = 0
+    for i in range(0, len(v), 20):
+        s = v @ v[i]
+        s[i] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & set(found[found.query_id == i].vec_id))
+    assert hits / len(found) >= 0.9
