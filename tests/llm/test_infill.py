@@ -66,7 +66,7 @@ def test_query_against_definition(spark):
 
 
 def test_awkward_rows(spark, tmp_path):
-    table = with_extra(awkward(spark)).withColumnRenamed("source", "n").withColumnRenamed("lang", "form")
+    table = with_extra(awkward(spark))
     table.write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["op12_infill"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got), key=repr) == sorted((brute(r.doc_id, r.text) for r in table.collect()), key=repr)

@@ -110,7 +110,7 @@ def test_planted_documents(spark, tmp_path):
 
 
 def test_awkward_rows(spark, tmp_path):
-    table = with_extra(awkward(spark)).withColumnRenamed("lang", "runs").withColumnRenamed("source", "top")
+    table = with_extra(awkward(spark)).withColumnRenamed("source", "top")
     table.write.parquet(f"{tmp_path}/documents.parquet")
     got = [tuple(r) for r in QUERIES["op13_runs"](spark, str(tmp_path)).collect()]
     short = [r for r in table.collect() if r.text is None or len(r.text) < 50_000]
