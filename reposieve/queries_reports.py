@@ -409,8 +409,9 @@ def snk2(spark, sf):
     """Findings as they stand in the written JSON: NULL evidence has no key."""
     lines = sinks.report_json(reports(spark, sf))
     name = F.get_json_object("value", "$.repo.name").alias("name")
-    items = F.from_json(F.get_json_object("value", "$.findings"), "array<map<string,string>>")
-    flat = lines.select("owner", name, F.explode_outer(items).alias("f")).filter(F.col("f").isNotNull())
+    items = F.from_json(F.get_json_object("value", "$.findings"), "array<map<string,string>>").alias("items")
+    # What stands beside a generator is evaluated for each row it makes: the name is taken from the text before.
+    flat = lines.select("owner", name, items).select("owner", "name", F.explode_outer("items").alias("f")).filter(F.col("f").isNotNull())
     evidence = F.try_element_at("f", F.lit("evidence")).alias("evidence")
     return flat.groupBy("owner", "name", evidence).agg(F.count(F.lit(1)).alias("n"))
 

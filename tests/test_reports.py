@@ -334,3 +334,12 @@ def test_written_reports_read_back(spark, golden, tmp_path):
 def test_shared_folder_is_the_named_one(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert named is None or shared_folder(spark) == named.rstrip("/")
+
+
+def test_report_texts_are_not_searched_for_each_finding(spark):
+    from reposieve import catalog
+
+    catalog.load()
+    plan = catalog.QUERIES["snk2_report_json"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, _ = plan.split("Generate explode", 1)
+    assert "get_json_object" not in above and "value" not in above
