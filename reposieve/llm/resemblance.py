@@ -1,14 +1,18 @@
-"""Near-copies by the Jaccard similarity of word shingles, verified exactly.
+"""Near-copies by SimHash of word shingles, every link verified by their exact Jaccard similarity.
 
-1. Texts that may have a partner come from minhashes: they share a bucket if the ``ROWS`` minhashes of one of ``BANDS`` bands
+1. Each text has a 64-bit fingerprint of its five-word shingles. Fingerprints that differ in ``DISTANCE`` bits at most meet in
+   buckets on pairs of ``DISTANCE + 2`` blocks (``simhash.links``). The pairs found there are verified on the whole
+   sets and contracted to components. Texts of one fingerprint are compared with one of them.
+2. Pairs at 0.8 differ in about ten bits, which blocks of 64 bits do not reach, so an exact search follows for what the
+   fingerprints left apart. Texts that may have a partner come from minhashes: they share a bucket if the ``ROWS`` minhashes of one of ``BANDS`` bands
    agree. A pair of similarity ``s`` does with probability ``1 - (1 - s**ROWS)**BANDS``, whatever the length of
    the texts: all but 6 in a million pairs at 0.8, and fewer above.
-2. Among these texts the search is exact. Their shingles are ordered by how many of the texts have them, and each text is posted
+3. Among these texts the search is exact. Their shingles are ordered by how many of the texts have them, and each text is posted
    under the rarest fifth of its own: texts at 0.8 share one of these (prefix filter). At a shared shingle the ranks bound
    how many can follow in common (positional filter). So texts that share a long common passage but not enough do not
    meet, and texts of which more than a fifth is their own are not posted at all.
-3. Of each posting list the text that is most typical of it is the pivot; all others are compared with it, in proportion to the
-   list. What is linked by then counts as one. Lists that still hold several components are joined with
+4. Of each posting list the text that is most typical of it is the pivot; all others outside its component are compared with it, in
+   proportion to the list. What is linked by then counts as one. Lists that still hold several components are joined with
    themselves, only those outside the pivot's component with the rest, and only where the ranks allow a link.
 
 Every link is decided on the whole sets of shingles. Texts with equal sets are one unit. Texts below ``words`` words are
@@ -25,12 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reposieve.llm import simhash
 from reposieve.llm.common import LOWER, Workspace, one_of_group, per_row, texts
 from reposieve.llm.components import components
 
 WORDS = 5
 #: Least similarity of a link, as a fraction.
 LEAST = (4, 5)
+#: Bits in which linked fingerprints may differ; wider pairs come from the search that follows.
+DISTANCE = 7
 BANDS, ROWS = 40, 6
 _CHUNK = 1 << 10
 _RNG = np.random.default_rng(11)
@@ -39,8 +46,8 @@ _TIMES = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the different shingles of a text."""
+def hashes(text: bytes | None, words: int = WORDS) -> np.ndarray:
+    """Hashes of the shingles of a text, repeats included."""
     import xxhash
 
     tokens = (text or b"").translate(LOWER).split()
@@ -51,7 +58,12 @@ def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
     end = np.cumsum(size + 1) - 1
     start, n = end - size, max(1, len(tokens) - words + 1)
     spans = zip(start[:n].tolist(), end[-n:].tolist())
-    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in spans), np.uint64, n))
+    return np.fromiter((digest(joined[a:b]) for a, b in spans), np.uint64, n)
+
+
+def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
+    """Sorted hashes of the different shingles of a text."""
+    return np.unique(hashes(text, words))
 
 
 def bands(found: np.ndarray) -> list[int]:
@@ -132,13 +144,33 @@ def _verified(work: Workspace, pairs: DataFrame, held: DataFrame, words: int, st
     return work.land(both.mapInArrow(_verify(words), "u long, v long"), f"found_{step}")
 
 
+def fingerprint_pairs(work: Workspace, units: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``(unit, other)``: pairs to verify, of fingerprints within the distance; enough to connect all of them."""
+    some = units.filter("n > 0").select("unit", "fp")
+    firsts = work.land(some.groupBy("fp").agg(F.min("unit").alias("first")), "firsts")
+    near = work.land(simhash.links(work, firsts, distance), "near")
+    u, v = (firsts.select(F.col("fp").alias(x), F.col("first").alias(name)) for x, name in (("u", "unit"), ("v", "other")))
+    pairs = near.join(u, "u").join(v, "v").select("unit", "other")
+    same = some.join(firsts, "fp").filter("unit <> first").select("unit", F.col("first").alias("other"))
+    return work.land(pairs.unionByName(same), "by_fingerprint")
+
+
+def _rooted(df: DataFrame, roots: DataFrame, unit: str, root: str) -> DataFrame:
+    """``df`` with the root of the component that ``unit`` is in."""
+    named = roots.select(F.col("v").alias(unit), F.col("root").alias("_root"))
+    return df.join(named, unit, "left").withColumn(root, F.coalesce("_root", unit)).drop("_root")
+
+
 def links(work: Workspace, units: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``(v, root)`` of the units that are linked to a smaller one; ``docs`` has ``text_hash`` and ``_text``."""
+    close = fingerprint_pairs(work, units)
     rows = units.select(F.explode("keys").alias("key"), "unit")
     twice = work.land(rows.groupBy("key").agg(F.count(F.lit(1)).alias("of")).filter("of > 1").select("key"), "twice")
-    some = rows.join(twice, "key", "left_semi").select("unit").distinct()
+    some = rows.join(twice, "key", "left_semi").select("unit")
+    some = some.unionByName(close.select("unit")).unionByName(close.select(F.col("other").alias("unit"))).distinct()
     wanted = work.land(units.join(some, "unit", "left_semi").select("unit", "text_hash"), "wanted")
     held = work.land(docs.join(wanted, "text_hash").groupBy("unit").agg(F.first("_text").alias("_text")), "held")
+    first = work.land(components(work, _verified(work, close, held, words, "fingerprints")), "first_roots")
     posted = postings(work, held, words)
     # The most typical unit of a list has the fewest shingles that are rarer than this one.
     pivots = work.land(
@@ -147,12 +179,11 @@ def links(work: Workspace, units: DataFrame, docs: DataFrame, words: int = WORDS
         "pivots",
     )
     met = posted.join(pivots, "shingle").filter((F.col("unit") != F.col("other")) & _may_link("n", "r", "other_n", "other_r"))
+    met = _rooted(_rooted(met.select("unit", "other").distinct(), first, "unit", "a"), first, "other", "b").filter("a <> b")
     found = _verified(work, met, held, words, "pivots")
-    roots = work.land(components(work, found), "roots")
-    by_unit = roots.withColumnRenamed("v", "unit")
-    named = work.land(posted.join(by_unit, "unit", "left").withColumn("root", F.coalesce("root", "unit")), "named")
-    mains = pivots.select("shingle", F.col("other").alias("unit")).join(by_unit, "unit", "left").select(
-        "shingle", F.coalesce("root", "unit").alias("main"))
+    roots = work.land(components(work, found.unionByName(first.select(F.col("v").alias("u"), F.col("root").alias("v")))), "roots")
+    named = work.land(_rooted(posted, roots, "unit", "root"), "named")
+    mains = _rooted(pivots.select("shingle", F.col("other").alias("unit")), roots, "unit", "main").select("shingle", "main")
     # What the pivot has not been linked with, in lists that have such.
     apart = work.land(named.join(mains, "shingle").filter(F.col("root") != F.col("main")).drop("main"), "apart")
     if not apart.isEmpty():
@@ -166,7 +197,7 @@ def links(work: Workspace, units: DataFrame, docs: DataFrame, words: int = WORDS
         higher = work.land(components(work, more), "higher").select(F.col("v").alias("root"), F.col("root").alias("top"))
         lower = roots.join(higher, "root", "left").select("v", F.coalesce("top", "root").alias("root"))
         roots = work.land(lower.unionByName(higher.select(F.col("root").alias("v"), F.col("top").alias("root"))), "all_roots")
-    work.drop("twice", "wanted", "held", "postings", "pivots", "named", "apart")
+    work.drop("firsts", "near", "by_fingerprint", "first_roots", "twice", "wanted", "held", "postings", "pivots", "named", "apart")
     return roots
 
 
@@ -178,13 +209,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     def of(text):
         import xxhash
 
-        found = shingles(text, words)
+        every = hashes(text, words)
+        found = np.unique(every)
         unit = int.from_bytes(xxhash.xxh64_digest(found.tobytes()), "big", signed=True)
-        return unit, len(found), bands(found)
+        return unit, len(found), simhash.majority(every), bands(found)
 
-    prints = work.land(per_row(rows, ["_id", "text_hash"], "_text", of, "unit long, n long, keys array<long>"), "prints")
+    prints = work.land(per_row(rows, ["_id", "text_hash"], "_text", of, "unit long, n long, fp long, keys array<long>"), "prints")
+    # Equal sets may have other repeats, so other fingerprints: any of them will do, the smallest is the same in each run.
     units = work.land(prints.groupBy("unit").agg(
-        F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("keys").alias("keys")), "units")
+        F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("keys").alias("keys")), "units")
     roots = links(work, units, rows.select("text_hash", "_text"), words)
     named = work.land(units.select("unit").join(roots.withColumnRenamed("v", "unit"), "unit", "left").select(
         "unit", F.coalesce("root", "unit").alias("root")), "named")

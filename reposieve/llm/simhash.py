@@ -52,6 +52,15 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big", signed=True)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit fingerprint: the bits that are set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), _CHUNK):
+        rows = hashes[k:k + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big", signed=True)
+
+
 def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", words: int = 3) -> DataFrame:
     """``keep`` and ``fp`` of every row, from its whole text."""
     return per_row(docs, keep, text_col, lambda t: (fingerprint(t, words),), "fp long")

@@ -1,4 +1,6 @@
 import corpus_pipeline
+import xxhash
+
 from reposieve.llm import resemblance
 from tests.llm.helpers import SCHEMA, awkward, docs, prose, with_extra
 
@@ -66,3 +68,19 @@ def test_repeated_and_null_ids(spark):
     table = [(1, edited(1, 0), "en", "a", 1), (1, edited(1, 2), "en", "a", 1), (1, prose(9, 60), "en", "a", 1),
              (None, edited(2, 0), "en", "a", 1), (None, edited(2, 2), "en", "a", 1)]
     assert stays(spark.createDataFrame(table, SCHEMA)) == [1, 1, None]
+
+
+def test_fingerprints_link_on_their_own(spark, monkeypatch):
+    # Without the search that follows, what is alike and within seven bits is joined, and nothing else.
+    def fingerprint(text):
+        w = text.encode().split()
+        found = [xxhash.xxh64_intdigest(b" ".join(w[i:i + 5])) for i in range(max(1, len(w) - 4))]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in found) > len(found))
+
+    monkeypatch.setattr(resemblance, "postings", lambda work, held, words: spark.createDataFrame([], "shingle long, unit long, n long, r long"))
+    pairs = [(edited(s, 0), edited(s, e)) for s in range(12) for e in (1, 3)]
+    near = [(fingerprint(a) ^ fingerprint(b)).bit_count() <= 7 for a, b in pairs]
+    assert 4 < sum(near) < len(near)
+    for e, want in ((1, near[0::2]), (3, near[1::2])):
+        df = docs(spark, [t for s in range(12) for t in (edited(s, 0), edited(s, e))])
+        assert stays(df) == sorted([*range(0, 24, 2), *(2 * k + 1 for k, n in enumerate(want) if not n)], key=repr)
