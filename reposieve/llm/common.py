@@ -40,9 +40,14 @@ class Workspace:
             path.getFileSystem(conf).delete(path, True)
 
 
-def texts(column: pa.Array) -> list[bytes | None]:
-    """A string column as UTF-8 bytes."""
-    return column.cast(pa.binary()).to_pylist()
+#: Texts of a batch that are Python objects at a time.
+TEXTS = 64
+
+
+def texts(column: pa.Array) -> Iterator[bytes | None]:
+    """A string column as UTF-8 bytes; the batch is not copied as a whole."""
+    for k in range(0, len(column), TEXTS):
+        yield from column.slice(k, TEXTS).cast(pa.binary()).to_pylist()
 
 
 def per_row(df: DataFrame, keep: list[str], column: str, make: Callable[[bytes | None], tuple], schema: str) -> DataFrame:

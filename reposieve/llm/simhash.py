@@ -151,10 +151,11 @@ def links(work: Workspace, fps: DataFrame, distance: int = 3) -> DataFrame:
     masks = {0: block_masks((1 << 64) - 1, blocks, 2)}
     rows = level.withColumn("m", F.lit(0).cast("long"))
     while True:
-        # One row for each mask: 10, 100, ... rows, whatever the size of the data.
-        table = spark.createDataFrame(
-            [(_signed(m), [_signed(x) for x in xs]) for m, xs in masks.items()], "m long, finer array<long>"
-        )
+        # One row for each mask: 10, 100, ... rows, whatever the size of the data. As Arrow, it needs no Python workers.
+        table = spark.createDataFrame(pa.table({
+            "m": pa.array([_signed(m) for m in masks], pa.int64()),
+            "finer": pa.array([[_signed(x) for x in xs] for xs in masks.values()], pa.list_(pa.int64())),
+        }))
         rows = rows.join(F.broadcast(table), "m").select("fp", F.explode("finer").alias("m"))
         rows = rows.select("m", F.col("m").bitwiseAND(F.col("fp")).alias("v"), "fp")
         finer = sorted({x for xs in masks.values() for x in xs})

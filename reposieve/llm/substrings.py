@@ -113,20 +113,27 @@ def _anchor_rows(length: int):
     return run
 
 
-def parts(lo: int, hi: int) -> list[tuple[int, int]]:
-    """The ranges a range is cut into."""
-    step = -(-(hi - lo + 1) // FAN)
-    return [(a, min(a + step - 1, hi)) for a in range(lo, hi + 1, step)]
-
-
-def _named_rows(length: int):
-    """Core and outer names of the nodes of each text; nodes without a window inside the text go."""
+def parts(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ranges that each range is cut into, and which range each of them is of."""
+    size = hi - lo + 1
+    step = -(-size // FAN)
+    n = -(-size // step)
+    of = np.repeat(np.arange(len(n)), n)
+    a = lo[of] + (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * step[of]
+    return a, np.minimum(a + step[of] - 1, hi[of]), of
+
+
+def _named_rows(length: int, cut: bool):
+    """Core and outer names of the nodes of each text, or of the parts they are cut into; those without a window inside the text go."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [[] for _ in range(8)]
             for unit, text, nodes in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2)):
                 data = np.frombuffer(text, np.uint8)
                 p, lo, hi, w = map(np.asarray, nodes.values.flatten())
+                if cut:
+                    lo, hi, of = parts(lo, hi)
+                    p, w = p[of], w[of]
                 for at in range(0, len(data), BLOCK):
                     here = (p >= at) & (p < at + BLOCK)
                     if not here.any():
@@ -225,12 +232,13 @@ class Repeats:
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         picked.repartition(n, "unit").write.bucketBy(n, "unit").format("parquet").option("path", f"{work.base}/held").saveAsTable(self.table)
         held = self.spark.table(self.table)
-        spans, ranges, k = None, {(0, length - length // 4)}, 0
+        spans, size, k = None, length - length // 4 + 1, 0
         while True:
+            # Nodes are cut only where their texts are, so a node is shuffled once and not once for each part.
             of_unit = nodes.groupBy("unit").agg(F.collect_list(F.struct("p", "lo", "hi", "w")).alias("nodes"))
             named = work.land(
                 held.select("unit", "_text").join(of_unit, "unit").select("unit", "_text", "nodes").mapInArrow(
-                    _named_rows(length), "unit long, p long, lo long, hi long, w long, core long, o1 long, o2 long"), f"named{k}",
+                    _named_rows(length, k > 0), "unit long, p long, lo long, hi long, w long, core long, o1 long, o2 long"), f"named{k}",
             )
             work.drop(f"nodes{k}")
             strings = work.land(
@@ -244,23 +252,14 @@ class Repeats:
                 "unit", (F.col("p") - F.col("hi")).alias("a"), (F.col("p") - F.col("lo") + length).alias("b")), f"spans{k}")
             work.drop(f"named{k}")
             spans = part if spans is None else spans.unionByName(part)
-            cut = {r: parts(*r) for r in ranges if r[0] < r[1]}
-            if not cut:
+            if size == 1:
                 break
-            mixed = strings.groupBy("lo", "core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("lo", "core")
+            wide = strings.filter("lo < hi")
+            mixed = wide.groupBy("lo", "core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("lo", "core")
             mixed = work.land(mixed, f"mixed{k}")
-            table = self.spark.createDataFrame(
-                [(lo, [{"lo": a, "hi": b} for a, b in xs]) for (lo, _), xs in cut.items()],
-                "lo long, finer array<struct<lo: long, hi: long>>",
-            )
-            nodes = work.land(
-                strings.join(mixed, ["lo", "core"], "left_semi")
-                .join(F.broadcast(table), "lo")  # at most ``length`` rows
-                .select("unit", "p", "w", F.explode("finer").alias("r"))
-                .select("unit", "p", "r.lo", "r.hi", "w"), f"nodes{k + 1}",
-            )
+            nodes = work.land(wide.join(mixed, ["lo", "core"], "left_semi").select("unit", "p", "lo", "hi", "w"), f"nodes{k + 1}")
             work.drop(f"strings{k}", f"mixed{k}")
-            ranges, k = {r for xs in cut.values() for r in xs}, k + 1
+            size, k = -(-size // FAN), k + 1
         of_unit = spans.groupBy("unit").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
         self.cut = work.land(
             held.join(of_unit, "unit").select("sha", "_text", "spans").mapInArrow(

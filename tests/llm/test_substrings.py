@@ -1,9 +1,14 @@
 import hashlib
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from reposieve.llm import queries, substrings
+from reposieve.llm import queries, simhash, substrings
+from reposieve.llm.common import texts
 from tests.llm.helpers import awkward, docs, prose, with_extra
 
 
@@ -70,6 +75,52 @@ def test_cut_texts(spark):
     assert substrings.without_repeats(df).columns == df.columns
 
 
+def test_nodes_are_not_landed_for_each_part(spark, monkeypatch):
+    landed, land = {}, substrings.Workspace.land
+
+    def counted(self, df, step):
+        out = land(self, df, step)
+        landed[step] = out.count()
+        return out
+
+    monkeypatch.setattr(substrings.Workspace, "land", counted)
+    shared = prose(50, 60)
+    df = docs(spark, [prose(i, 30) + shared[7 * i:] + prose(20 + i, 30) for i in range(4)])
+    assert result(df, 200) == brute(pairs(df), 200)
+    assert landed["nodes1"] and all(landed[f"nodes{k + 1}"] <= landed[f"strings{k}"] for k in range(3))
+
+
+def test_parts():
+    size = np.arange(1, 60)
+    lo = 3 * size
+    a, b, of = substrings.parts(lo, lo + size - 1)
+    for k, n in enumerate(size):
+        own = of == k
+        assert np.concatenate([np.arange(x, y + 1) for x, y in zip(a[own], b[own])]).tolist() == list(range(lo[k], lo[k] + n))
+        assert own.sum() <= substrings.FAN and (b[own] - a[own]).max() + 1 == -(-n // substrings.FAN)
+
+
+def test_no_rows_go_through_python_workers_from_the_driver(spark, monkeypatch):
+    def fail(*_, **__):
+        raise AssertionError("a table made of Python rows starts Python workers of its own")
+
+    df = docs(spark, [prose(1, 90), prose(1, 60) + prose(2, 40)])
+    want = brute(pairs(df), 200)
+    fps = df.select(F.xxhash64("text").alias("fp")).localCheckpoint()
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", fail)
+    assert result(df, 200) == want
+    assert simhash.links(substrings.Workspace(spark, "masks"), fps).collect() == []
+
+
+def test_texts_are_not_copied_as_a_whole():
+    column = pa.array(["x" * 10_000] * 1_000 + [None])
+    tracemalloc.start()
+    n = sum(len(t or b"") for t in texts(column))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 10_000_000 and peak < 2_000_000
+
+
 def test_query(spark):
     found = queries.QUERIES["op6_substrings"](spark, "/root/testdata/sf0.001")
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
