@@ -45,7 +45,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFr
     total, parts = table.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("_w"), F.lit(0))).first()
     left, n = total, 0
     while parts:
-        full = F.lit(left) * F.col("_w") / F.lit(parts) >= F.col("_most")
+        # A number that fits 32 bits would be an int, and int times int an error from 2^31 on.
+        full = F.lit(left).cast("long") * F.col("_w") / F.lit(parts) >= F.col("_most")
         limited, spent, weight = table.agg(
             F.count_if(full), F.coalesce(F.sum(F.when(full, F.col("_most"))), F.lit(0)),
             F.coalesce(F.sum(F.when(~full, F.col("_w"))), F.lit(0)),

@@ -58,6 +58,23 @@ def test_rows_that_repeat_an_id_have_their_own_share(spark):
     assert all(0 < r.taken <= 3 * len(r.text.split()) for r in kept)
 
 
+@pytest.mark.parametrize("sizes", [(900_000_000, 500_000_000, 4), (1_200_000_000, 800_000_000, 140_000_000), (3_000_000_000, 9, 2_000_000_000)])
+def test_sizes_of_billions(spark, sizes):
+    sources = spark.createDataFrame([(s, n, k) for k, (s, n) in enumerate(zip("abc", sizes), 1)], "_source string, source_size long, _rank long")
+    found = [r.target for r in mixing.targets(sources, (1, 2, 3), 3).orderBy("_rank").collect()]
+    # By hand: what is full stays at three times its size, the others share the rest by weight.
+    weights, left, full = {0: 1, 1: 2, 2: 3}, sum(sizes), set()
+    while True:
+        open_ = {k: w for k, w in weights.items() if k not in full}
+        rest = left - sum(3 * sizes[k] for k in full)
+        more = {k for k, w in open_.items() if rest * w / sum(open_.values()) >= 3 * sizes[k]}
+        if not more:
+            break
+        full |= more
+    want = [3 * sizes[k] if k in full else rest * w / sum(open_.values()) for k, w in weights.items()]
+    assert found == pytest.approx(want)
+
+
 def test_query(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = sorted(map(tuple, queries.QUERIES["op7_mixing"](spark, "/root/testdata/sf0.001").collect()), key=repr)
