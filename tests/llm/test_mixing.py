@@ -75,6 +75,12 @@ def test_sizes_of_billions(spark, sizes):
     assert found == pytest.approx(want)
 
 
+def test_weights_of_billions(spark):
+    df = docs(spark, [prose(i, 5 + i) for i in range(40)])
+    small, large = (sorted((r.doc_id, r.taken) for r in mixing.mix(df, weights=w).collect()) for w in ((1, 2), (10**9, 2 * 10**9)))
+    assert small == large and sum(n for _, n in small) > 0
+
+
 def test_query(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = sorted(map(tuple, queries.QUERIES["op7_mixing"](spark, "/root/testdata/sf0.001").collect()), key=repr)
